@@ -1,0 +1,4 @@
+"""No streaming operators: every source this library covers is a bounded recording.
+
+Stage functions in ``saccadia.plans`` take and return DataFrames, one batch of recordings at a time.
+"""

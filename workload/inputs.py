@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saccadia import schemas as S
 from saccadia.operators.scan import scan, sum_before
+from saccadia.plans.preprocess import preprocess_events
+from saccadia.session import stage
 
 DAY = 86_400_000
 CHUNK = 5 * DAY  # the clock of these tables spans 30 days, a trial about six
@@ -93,9 +97,31 @@ def gaze_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(data, ((p * 7 + i) % 5) * 1.5).alias("speed")))
 
 
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Hand-off table between two stages, written once per session to the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGED:
+        _STAGED[key] = stage(build(), name)
+    return _STAGED[key]
+
+
 def gaze_events(spark: SparkSession, sf_dir: str, experiment: str) -> DataFrame:
-    rows = gaze_marks(spark, sf_dir).unionByName(gaze_body(spark, sf_dir), allowMissingColumns=True)
-    return rows.withColumn("experiment", F.lit(experiment))
+    """Raw events, as the log parser hands them over."""
+    def build() -> DataFrame:
+        return gaze_marks(spark, sf_dir).unionByName(gaze_body(spark, sf_dir), allowMissingColumns=True)
+
+    return staged(spark, sf_dir, "raw_events", build).withColumn("experiment", F.lit(experiment))
+
+
+def prepared_events(spark: SparkSession, sf_dir: str, experiment: str) -> DataFrame:
+    """Preprocessed events of one experiment, as the feature functions read them."""
+    def build() -> DataFrame:
+        return preprocess_events(gaze_events(spark, sf_dir, experiment), experiment, width=CHUNK, validate=True)
+
+    return staged(spark, sf_dir, f"events_{experiment}", build)
 
 
 def gaze_samples(spark: SparkSession, sf_dir: str, experiment: str = "SHAPES") -> DataFrame:

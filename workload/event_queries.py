@@ -29,9 +29,10 @@ def register(name: str, sql: str | None = None):
 
 
 def rounded_doubles(df: DataFrame, factor: float | None = None, digits: int = 6) -> DataFrame:
+    """Doubles rounded for comparison; adding zero turns a negative zero into zero."""
     kinds = dict(df.dtypes)
-    return df.select(*[F.round(F.col(c) * factor if factor else F.col(c), digits).alias(c) if kinds[c] == "double"
-                       else F.col(c) for c in df.columns])
+    return df.select(*[(F.round(F.col(c) * factor if factor else F.col(c), digits) + F.lit(0.0)).alias(c)
+                       if kinds[c] == "double" else F.col(c) for c in df.columns])
 
 
 def raw(spark: SparkSession, sf: str, experiment: str = "SHAPES") -> DataFrame:
@@ -346,13 +347,13 @@ def assign_trials(spark, sf):
 
 
 ASOF = TIMED + f""",
-merged as (select participant_id, trial_id, time, seq, 1 as side, null as at, null as px, null as py from timed
+merged as (select participant_id, trial_id, time, seq, 1 as side, null as hit, null as px, null as py from timed
   where event = 'EFIX'
  union all select participant_id, trial_id, time, seq, 0, time, stimulus_x, stimulus_y from timed
   where event = 'FIXPOINT'),
-near as (select *, last_value(case when side = 0 then {{'at': at, 'x': px, 'y': py}} end ignore nulls) over (
+near as (select *, last_value(case when side = 0 then struct_pack(hit := hit, x := px, y := py) end ignore nulls) over (
   partition by participant_id, trial_id order by time, side, seq rows between unbounded preceding and current row) as b,
- first_value(case when side = 0 then {{'at': at, 'x': px, 'y': py}} end ignore nulls) over (
+ first_value(case when side = 0 then struct_pack(hit := hit, x := px, y := py) end ignore nulls) over (
   partition by participant_id, trial_id order by time, side, seq rows between current row and unbounded following) as f
  from merged)"""
 
@@ -365,7 +366,7 @@ def _points_and_fixations(spark, sf):
 
 
 @register("asof_backward", query(ASOF, """
-select participant_id, trial_id, time, seq, b.at as shown_at, b.x as stimulus_x, b.y as stimulus_y from near
+select participant_id, trial_id, time, seq, b.hit as shown_at, b.x as stimulus_x, b.y as stimulus_y from near
  where side = 1"""))
 def asof_backward(spark, sf):
     return joins.asof(*_points_and_fixations(spark, sf), S.TRIAL, ["stimulus_x", "stimulus_y"], width=CHUNK,
@@ -373,10 +374,10 @@ def asof_backward(spark, sf):
 
 
 @register("asof_nearest", query(ASOF, """
-select participant_id, trial_id, time, seq, case when abs(time - m.at) <= 43200000 then m.at end as shown_at,
- case when abs(time - m.at) <= 43200000 then m.x end as stimulus_x,
- case when abs(time - m.at) <= 43200000 then m.y end as stimulus_y from (
- select *, case when b is not null and (f is null or time - b.at <= f.at - time) then b else f end as m
+select participant_id, trial_id, time, seq, case when abs(time - m.hit) <= 43200000 then m.hit end as shown_at,
+ case when abs(time - m.hit) <= 43200000 then m.x end as stimulus_x,
+ case when abs(time - m.hit) <= 43200000 then m.y end as stimulus_y from (
+ select *, case when b is not null and (f is null or time - b.hit <= f.hit - time) then b else f end as m
  from near where side = 1) n"""))
 def asof_nearest(spark, sf):
     return joins.asof(*_points_and_fixations(spark, sf), S.TRIAL, ["stimulus_x", "stimulus_y"], direction="nearest",
@@ -486,10 +487,11 @@ firsts as (select {KEYS}, trial_id, arg_min(start_time - stimulus_time, (time, s
 
 def _register_verdicts(experiment: str, prefix: str, rows):
     @register(f"{prefix}_correct", query(_verdict(experiment), f"""
-select {ID}, event, stimulus_time, correct as is_saccade_correct, trial_correct as is_trial_correct from judged"""))
+select {ID}, event, stimulus_time, cast(correct as int) as is_saccade_correct, cast(trial_correct as int) as is_trial_correct from judged"""))
     def correct(spark, sf):
         return rows(ready(spark, sf, experiment), width=CHUNK).select(
-            *ROW, "event", "stimulus_time", "is_saccade_correct", "is_trial_correct")
+            *ROW, "event", "stimulus_time", F.col("is_saccade_correct").cast("int").alias("is_saccade_correct"),
+            F.col("is_trial_correct").cast("int").alias("is_trial_correct"))
 
     @register(f"{prefix}_n_correct", query(_verdict(experiment), f"""
 select {KEYS}, cast(count(*) filter (where ok) as bigint) as n_correct_trials from verdicts group by all"""))

@@ -649,3 +649,58 @@ def event_counts(spark, sf):
     return raw(spark, sf).groupBy("colour", "event").agg(
         F.count("*").alias("n"), F.countDistinct("eye").alias("n_eyes"),
         F.countDistinct("participant_id").alias("n_participants"))
+
+
+# --- recorder logs ---------------------------------------------------------------------------------------------------
+
+LABELS = ["side", "time_elapsed", "delay", "marks", "shape", "speed"]
+
+
+def log_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw events rendered as recorder lines, one recording per participant."""
+    rows = timed(spark, sf).withColumn("original", F.col("time"))
+
+    def whole(c: str):
+        return F.col(c).cast("bigint").cast("string")
+
+    def text(c: str):
+        return F.coalesce(F.col(c).cast("string"), F.lit("."))
+
+    event, time = F.col("event"), F.col("time").cast("string")
+    line = (F.when(event == "TRIALID", F.concat_ws(" ", F.lit("MSG"), time, event, F.col("trial_id").cast("string")))
+            .when(event.isin("START", "END"), F.concat_ws("\t", event, time, F.lit("EVENTS")))
+            .when(event == "TRIAL_VAR_DATA", F.concat_ws(" ", F.lit("MSG"), time, F.lit("!V TRIAL_VAR_DATA"),
+                                                         *[text(c) for c in LABELS]))
+            .when(event == "FIXPOINT", F.concat_ws(" ", F.lit("MSG"), time, F.lit("!V FIXPOINT"), F.col("colour"),
+                                                   F.lit("0 0 0"), whole("stimulus_x"), whole("stimulus_y")))
+            .when(event == "EFIX", F.concat_ws("  ", event, "eye", whole("start_time"), whole("end_time"), whole("duration"),
+                                               whole("x"), whole("y"), text("avg_pupil_size")))
+            .when(event == "ESACC", F.concat_ws(" ", event, "eye", whole("start_time"), whole("end_time"),
+                                                whole("duration"), whole("start_x"), whole("start_y"), whole("end_x"),
+                                                whole("end_y"), text("amplitude"), text("peak_velocity")))
+            .when(event == "EBLINK", F.concat_ws(" ", event, "eye", whole("start_time"), whole("end_time"),
+                                                 whole("duration")))
+            .otherwise(F.concat_ws(" ", event, "eye", time)))
+    header = F.lit("MSG 0 TRIAL_VAR_LABELS " + " ".join(LABELS))
+    noise = F.lit("INPUT 0 0")
+    lines = F.when(event == "TRIALID", F.array(header, line)).otherwise(F.array(line, noise))
+    return rows.select(F.concat(F.lit("Shapes_"), F.col("participant_id").cast("string"), F.lit("_x.asc")).alias("recording"),
+                       "participant_id", F.col("trial_id").alias("part"), F.col("time").alias("at"), F.col("seq").alias("place"),
+                       F.posexplode(lines).alias("line_no", "line"))
+
+
+@register("asc_roundtrip", query(ctes.GAZE, """
+select participant_id, trial_id, time, event, eye, colour, stimulus_x, stimulus_y, start_time, end_time, duration,
+ case when x >= 0 then x end as x, case when y >= 0 then y end as y, round(avg_pupil_size, 6) as avg_pupil_size, start_x,
+ start_y, end_x, end_y, round(amplitude, 6) as amplitude, round(peak_velocity, 6) as peak_velocity, side,
+ round(time_elapsed, 6) as time_elapsed, marks,
+ case when event = 'TRIAL_VAR_DATA' then coalesce(shape, '.') end as shape from gaze"""))
+def asc_roundtrip(spark, sf):
+    from saccadia.sources.logs import parse_events
+
+    parsed = parse_events(log_lines(spark, sf), "SHAPES", "part", ["at", "place", "line_no"],
+                          F.struct("part", F.floor(F.col("at") / CHUNK).alias("c")))
+    return rounded_doubles(parsed.select(
+        "participant_id", "trial_id", "time", "event", "eye", "colour", "stimulus_x", "stimulus_y", "start_time", "end_time",
+        "duration", "x", "y", "avg_pupil_size", "start_x", "start_y", "end_x", "end_y", "amplitude", "peak_velocity", "side",
+        F.col("time_elapsed").try_cast("double").alias("time_elapsed"), "marks", "shape"))

@@ -39,19 +39,20 @@ def exact_medians(df: DataFrame, by: Sequence[str], metrics: dict[str, Column],
     for i in range(len(names)):
         value, low, high = F.col(f"_m{i}"), F.col(f"_b{i}")[0], F.col(f"_b{i}")[1]
         entries.append(F.when(value <= high, F.struct(
-            F.lit(i).alias("i"), F.when(value >= low, value.cast("double")).alias("v"), F.col(f"_n{i}").alias("n"))))
-    counted = (located.select(*by, F.explode(F.array_compact(F.array(*entries))).alias("e"))
-               .groupBy(*by, "e").agg(F.count("*").alias("k"))
-               .select(*by, "e.i", "e.v", "e.n", "k"))
-    upto = W.partitionBy(*by, "i").orderBy(F.col("v").asc_nulls_first())
-    ranked = counted.withColumn("upto", F.sum("k").over(upto))
-    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+            F.lit(i).alias("_i"), F.when(value >= low, value.cast("double")).alias("_v"),
+            F.col(f"_n{i}").alias("_of"))))
+    counted = (located.select(*by, F.explode(F.array_compact(F.array(*entries))).alias("_e"))
+               .groupBy(*by, "_e").agg(F.count("*").alias("_count"))
+               .select(*by, "_e._i", "_e._v", "_e._of", "_count"))
+    upto = W.partitionBy(*by, "_i").orderBy(F.col("_v").asc_nulls_first())
+    ranked = counted.withColumn("_upto", F.sum("_count").over(upto))
+    lower, upper = F.floor((F.col("_of") + 1) / 2), F.floor((F.col("_of") + 2) / 2)
     picked = []
     for i in range(len(names)):
-        mine = F.col("i") == i
-        picked += [F.min(F.when(mine & (F.col("upto") >= lower), F.col("v"))).alias(f"_lo{i}"),
-                   F.min(F.when(mine & (F.col("upto") >= upper), F.col("v"))).alias(f"_hi{i}"),
-                   F.max(F.when(mine & F.col("v").isNull(), F.col("upto") >= lower)).alias(f"_miss{i}")]
+        mine = F.col("_i") == i
+        picked += [F.min(F.when(mine & (F.col("_upto") >= lower), F.col("_v"))).alias(f"_lo{i}"),
+                   F.min(F.when(mine & (F.col("_upto") >= upper), F.col("_v"))).alias(f"_hi{i}"),
+                   F.max(F.when(mine & F.col("_v").isNull(), F.col("_upto") >= lower)).alias(f"_miss{i}")]
     middles = ranked.groupBy(*by).agg(*picked)
 
     def median(i: int) -> Column:

@@ -32,22 +32,24 @@ def exact_medians(df: DataFrame, by: Sequence[str], metrics: dict[str, Column],
                      F.percentile_approx(f"_m{i}", list(_BRACKET), _ACCURACY).alias(f"_b{i}")]
     # ``extra`` aggregates refer to metric i as column _m{i}.
     groups = values.groupBy(*by).agg(*extra, *sketches)
+    sketched = [f"_b{i}" for i in range(len(names))]
+    carried = [c for c in groups.columns if c not in by and c not in sketched]
 
-    located = values.join(groups.select(*by, *[f"_n{i}" for i in range(len(names))],
-                                        *[f"_b{i}" for i in range(len(names))]), by)
+    # The group's own numbers ride along, so that the groups are computed once.
+    located = values.join(groups, by)
     entries = []
     for i in range(len(names)):
         value, low, high = F.col(f"_m{i}"), F.col(f"_b{i}")[0], F.col(f"_b{i}")[1]
         entries.append(F.when(value <= high, F.struct(
             F.lit(i).alias("_i"), F.when(value >= low, value.cast("double")).alias("_v"),
             F.col(f"_n{i}").alias("_of"))))
-    counted = (located.select(*by, F.explode(F.array_compact(F.array(*entries))).alias("_e"))
-               .groupBy(*by, "_e").agg(F.count("*").alias("_count"))
-               .select(*by, "_e._i", "_e._v", "_e._of", "_count"))
+    counted = (located.select(*by, *carried, F.explode_outer(F.array_compact(F.array(*entries))).alias("_e"))
+               .groupBy(*by, "_e").agg(F.count("*").alias("_count"), *[F.max(c).alias(c) for c in carried])
+               .select(*by, *carried, "_e._i", "_e._v", "_e._of", "_count"))
     upto = W.partitionBy(*by, "_i").orderBy(F.col("_v").asc_nulls_first())
     ranked = counted.withColumn("_upto", F.sum("_count").over(upto))
     lower, upper = F.floor((F.col("_of") + 1) / 2), F.floor((F.col("_of") + 2) / 2)
-    picked = []
+    picked = [F.max(c).alias(c) for c in carried]
     for i in range(len(names)):
         mine = F.col("_i") == i
         picked += [F.min(F.when(mine & (F.col("_upto") >= lower), F.col("_v"))).alias(f"_lo{i}"),
@@ -61,8 +63,8 @@ def exact_medians(df: DataFrame, by: Sequence[str], metrics: dict[str, Column],
         return (F.when(outside, F.raise_error(F.lit("median outside its bracket")).cast("double"))
                 .otherwise((F.col(f"_lo{i}") + F.col(f"_hi{i}")) / 2))
 
-    kept = [c for c in groups.columns if c not in {f"_{p}{i}" for p in "nb" for i in range(len(names))}]
-    return groups.join(middles, by, "left").select(*kept, *[median(i).alias(outputs[n]) for i, n in enumerate(names)])
+    kept = [c for c in carried if c not in {f"_n{i}" for i in range(len(names))}]
+    return middles.select(*by, *kept, *[median(i).alias(outputs[n]) for i, n in enumerate(names)])
 
 
 def five_stats(df: DataFrame, by: Sequence[str], metrics: dict[str | tuple[str, str], Column],

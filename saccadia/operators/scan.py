@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 DEFAULT_CHUNK = 600_000  # ten minutes on a millisecond axis
 _LAST_CHUNK = 9223372036854775807
 
-# A scan item gets the row order key and returns (partial, carry, value):
-#   partial: aggregate over one chunk;
-#   carry(frames, p): what the chunk learns from the other chunks, from partial column p;
-#   value(frames, c): result per row from carry column c; None for values that are equal for the whole series.
-Item = Callable[[Column], tuple[Column, Callable, Callable | None]]
+
+@dataclass(frozen=True)
+class Item:
+    """One requested column of a scan."""
+    partial: Callable[[Column], Column]   # order key -> aggregate over one chunk
+    carry: Callable                       # (chunk frames, partial) -> what a chunk learns from the other chunks
+    value: Callable | None                # (row frames, carry) -> result per row; None: the carry is the result
+    by_order: bool = True                 # does the partial use the order key?
 
 
 @dataclass
@@ -57,71 +60,55 @@ class _Frames:
 
 def last(value: Column) -> Item:
     """Last non-null value at or before the row (forward fill)."""
-    return lambda key: (
-        F.max_by(value, F.when(value.isNotNull(), key)),
-        lambda w, p: F.last(p, True).over(w.before),
-        lambda w, c: F.coalesce(F.last(value, True).over(w.upto), c),
-    )
+    return Item(lambda key: F.max_by(value, F.when(value.isNotNull(), key)),
+                lambda w, p: F.last(p, True).over(w.before),
+                lambda w, c: F.coalesce(F.last(value, True).over(w.upto), c))
 
 
 def following(value: Column) -> Item:
     """First non-null value at or after the row (backward fill)."""
-    return lambda key: (
-        F.min_by(value, F.when(value.isNotNull(), key)),
-        lambda w, p: F.last(p, True).over(w.after),
-        lambda w, c: F.coalesce(F.last(value, True).over(w.onwards), c),
-    )
+    return Item(lambda key: F.min_by(value, F.when(value.isNotNull(), key)),
+                lambda w, p: F.last(p, True).over(w.after),
+                lambda w, c: F.coalesce(F.last(value, True).over(w.onwards), c))
 
 
 def previous(value: Column) -> Item:
     """Value of the row before (lag 1), null when that value is null."""
     boxed = F.struct(value.alias("v"))
-    return lambda key: (
-        F.max_by(boxed, key),
-        lambda w, p: F.lag(p).over(w.ordered),
-        lambda w, c: F.coalesce(F.lag(boxed).over(w.ordered), c)["v"],
-    )
+    return Item(lambda key: F.max_by(boxed, key),
+                lambda w, p: F.lag(p).over(w.ordered),
+                lambda w, c: F.coalesce(F.lag(boxed).over(w.ordered), c)["v"])
 
 
 def sum_before(value: Column) -> Item:
     """Sum of ``value`` over the rows before this one, 0 for the first row."""
-    return lambda key: (
-        F.sum(value),
-        lambda w, p: F.coalesce(F.sum(p).over(w.before), F.lit(0)),
-        lambda w, c: F.coalesce(F.sum(value).over(w.before), F.lit(0)) + c,
-    )
+    return Item(lambda key: F.sum(value),
+                lambda w, p: F.coalesce(F.sum(p).over(w.before), F.lit(0)),
+                lambda w, c: F.coalesce(F.sum(value).over(w.before), F.lit(0)) + c, by_order=False)
 
 
 def running_max(value: Column) -> Item:
     """Largest value at or before the row."""
-    return lambda key: (
-        F.max(value),
-        lambda w, p: F.max(p).over(w.before),
-        lambda w, c: F.greatest(F.max(value).over(w.upto), c),
-    )
+    return Item(lambda key: F.max(value),
+                lambda w, p: F.max(p).over(w.before),
+                lambda w, c: F.greatest(F.max(value).over(w.upto), c), by_order=False)
 
 
 def total(fn: Callable[[Column], Column], value: Column) -> Item:
     """``fn`` (min, max or sum) of the whole series on every row."""
-    return lambda key: (fn(value), lambda w, p: fn(p).over(w.whole), None)
+    return Item(lambda key: fn(value), lambda w, p: fn(p).over(w.whole), None, by_order=False)
 
 
 def first_of_all(value: Column) -> Item:
     """First non-null value of the whole series on every row."""
-    return lambda key: (
-        F.min(F.when(value.isNotNull(), F.struct(key.alias("k"), value.alias("v")))),
-        lambda w, p: F.min(p).over(w.whole)["v"],
-        None,
-    )
+    return Item(lambda key: F.min(F.when(value.isNotNull(), F.struct(key.alias("k"), value.alias("v")))),
+                lambda w, p: F.min(p).over(w.whole)["v"], None)
 
 
 def last_of_all(value: Column) -> Item:
     """Last non-null value of the whole series on every row."""
-    return lambda key: (
-        F.max(F.when(value.isNotNull(), F.struct(key.alias("k"), value.alias("v")))),
-        lambda w, p: F.max(p).over(w.whole)["v"],
-        None,
-    )
+    return Item(lambda key: F.max(F.when(value.isNotNull(), F.struct(key.alias("k"), value.alias("v")))),
+                lambda w, p: F.max(p).over(w.whole)["v"], None)
 
 
 def order_key(axis: str, ties: Sequence[str]) -> Column:
@@ -137,32 +124,29 @@ def scan(df: DataFrame, by: Sequence[str], axis: str, ties: Sequence[str], items
          chunk: Column | None = None, width: int = DEFAULT_CHUNK) -> DataFrame:
     """Add one column per item to ``df``; rows of a series are ordered by ``axis`` (nulls last), then ``ties``.
 
-    ``chunk`` must not decrease along that order. ``df`` is read twice: once for the rows and once, pruned, for the
-    chunk table.
+    ``chunk`` must not decrease along that order. The chunk table is aggregated from the shuffled rows when it needs
+    their order, so both sides can share one shuffle; plain sums and extremes are pre-aggregated before the shuffle.
     """
     by, ties = list(by), list(ties)
     key = order_key(axis, ties)
-    built = {name: item(key) for name, item in items.items()}
     chunked = df.withColumn("_chunk", time_chunk(axis, width) if chunk is None else chunk)
-
-    carries = chunked.groupBy(*by, "_chunk").agg(*[p.alias(f"_p_{n}") for n, (p, _, _) in built.items()])
+    spread = chunked.repartition(*by, "_chunk")
+    source = spread if any(i.by_order for i in items.values()) else chunked
+    carries = source.groupBy(*by, "_chunk").agg(*[i.partial(key).alias(f"_p_{n}") for n, i in items.items()])
     over_chunks = _Frames(by, [F.col("_chunk").asc()], [F.col("_chunk").desc()])
     carries = carries.select(
         *[F.col(b).alias(f"_k_{b}") for b in by], F.col("_chunk").alias("_k_chunk"),
-        *[carry(over_chunks, F.col(f"_p_{n}")).alias(f"_c_{n}") for n, (_, carry, _) in built.items()])
+        *[i.carry(over_chunks, F.col(f"_p_{n}")).alias(f"_c_{n}") for n, i in items.items()])
 
     inside = _Frames([*by, "_chunk"], [F.col(axis).asc_nulls_last(), *[F.col(t).asc_nulls_last() for t in ties]],
                      [F.col(axis).desc_nulls_first(), *[F.col(t).desc_nulls_first() for t in ties]])
-    rows = chunked.repartition(*by, "_chunk") if any(v for _, _, v in built.values()) else chunked
-    on = [F.col(b) == F.col(f"_k_{b}") for b in by] + [F.col("_chunk") == F.col("_k_chunk")]
-    condition = on[0]
-    for part in on[1:]:
-        condition = condition & part
-    joined = rows.join(carries, condition, "left")
+    same = F.col("_chunk") == F.col("_k_chunk")
+    for b in by:
+        same = same & (F.col(b) == F.col(f"_k_{b}"))
+    joined = spread.join(carries, same, "left")
     out = [c for c in df.columns if c not in items]
     return joined.select(
-        *out, *[(value(inside, F.col(f"_c_{n}")) if value is not None else F.col(f"_c_{n}")).alias(n)
-                for n, (_, _, value) in built.items()])
+        *out, *[(i.value(inside, F.col(f"_c_{n}")) if i.value else F.col(f"_c_{n}")).alias(n) for n, i in items.items()])
 
 
 def attach(df: DataFrame, by: Sequence[str], **aggregates: Column) -> DataFrame:

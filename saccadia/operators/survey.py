@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Questions that patients and controls answer in separate columns.
 CONTROL_QUESTIONS = {f"rivermead_{part}:{n}": [f"rivermead_{part}:{n}", f"rivermead_{part}_control:{n}"]
                      for part in (1, 2) for n in range(8)}
+# Fixed value: a quoted answer code inside a list literal such as ['1', '3'].
+QUOTED = """['"]([^'"]*)['"]"""
 META_COLUMNS = ["category", "date", "id", "version"]
 
 
@@ -51,7 +53,7 @@ def category_code(df: DataFrame, column: str = "category") -> DataFrame:
 def multi_hot(df: DataFrame, column: str, prefix: str, drop: Sequence[str] = (),
               codes: Sequence[str] | None = None) -> DataFrame:
     """List literal in a text column to one 0/1 column per answer code; ``codes`` names them or they are looked up."""
-    answers = F.from_json(F.col(f"`{column}`"), "array<string>", {"allowSingleQuotes": "true"})
+    answers = F.regexp_extract_all(F.col(f"`{column}`"), F.lit(QUOTED), 1)
     parsed = df.withColumn("_answers", answers)
     if codes is None:  # as many as there are answer options
         codes = sorted(r["c"] for r in parsed.select(F.explode("_answers").alias("c")).distinct().collect())

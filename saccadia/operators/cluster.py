@@ -17,7 +17,6 @@ from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from saccadia.operators.scan import scan, sum_before
@@ -163,7 +162,8 @@ def silhouette_squared(points: DataFrame, features: Sequence[str], key: str = "i
         F.count("*").alias("n"), F.avg(square).alias("q"), F.array(*[F.avg(f) for f in features]).alias("m"))
     clusters = moments.agg(F.collect_list(F.struct("c", "n", "q", "m")).alias("_all"))  # one entry per cluster
     rows = points.select(key, F.col(cluster).alias("_c"), square.alias("_sq"), F.array(*features).alias("_v"), F.lit(0).alias("_j"))
-    with_all = rows.join(clusters.withColumn("_j", F.lit(0)), "_j")
+    # One row with k entries, however many points there are.
+    with_all = rows.join(F.broadcast(clusters.withColumn("_j", F.lit(0))), "_j")
 
     def mean_square(entry: Column) -> Column:
         dot = F.aggregate(F.zip_with("_v", entry["m"], lambda x, m: x * m), F.lit(0.0), lambda acc, x: acc + x)
@@ -312,6 +312,11 @@ def best_per_k(rows: DataFrame, k: str = "n_clusters", score: str = "silhouette"
     return rows.join(best, k).where(F.col(score) == F.col("_best")).select(*rows.columns)
 
 
+def best_model(rows: DataFrame, score: str = "silhouette") -> DataFrame:
+    """The single best row."""
+    return rows.orderBy(F.col(score).desc_nulls_last()).limit(1)
+
+
 def distinct_feature_sets(rows: DataFrame, features: str = "features", k: str = "n_clusters",
                           order: str = "position") -> DataFrame:
     """First row of every (feature set, k), whatever the order of the names."""

@@ -126,6 +126,20 @@ def test_survey_steps(spark):
     assert survey.topic_columns(["pain:1", "reading:0", "pain:2"]) == {"pain": ["pain:1", "pain:2"], "reading": ["reading:0"]}
 
 
+def test_clean_survey(spark):
+    question = "reading:6_" + survey.REWORDED_QUESTIONS["reading:6"][0]
+    other = "reading:6_" + survey.REWORDED_QUESTIONS["reading:6"][1]
+    rows = [(i, f"2024-01-0{i + 1}", "PATIENT" if i % 2 else "CONTROL", "v", "ja" if i % 2 else None, None if i % 2 else "nej",
+             None if i else "x", "['1', '6']" if i else "['2']") for i in range(4)]
+    df = spark.createDataFrame([*rows, (1, "2024-02-01", "PATIENT", "v", "nu", None, None, "['2']")],
+                               f"id int, date string, category string, version string, `{question}` string, `{other}` string, "
+                               "`screen:1_x` string, `pain:0_position` string")
+    done = {r["id"]: r.asDict() for r in survey.clean_survey(df).collect()}
+    assert set(done) == {0, 1, 2, 3} and "screen:1" not in done[0]
+    assert [done[i]["reading:6"] for i in range(4)] == ["nej", "nu", "nej", "ja"]
+    assert done[1]["pain:2"] == 1 and done[2]["pain:1"] == 1 and "pain:6" not in done[2] and done[3]["category"] == 1
+
+
 def test_feature_plans_stay_in_the_jvm(spark, sf):
     from workload import inputs, sample_queries
 

@@ -181,10 +181,11 @@ def first_two_targets(rows: DataFrame, width: int = DEFAULT_CHUNK) -> DataFrame:
 
 
 def nearest_target_distance(rows: DataFrame, width: int = DEFAULT_CHUNK) -> DataFrame:
+    """Distance to the closer of the first two targets, for the rows of trials that have a target."""
     def to(target: str) -> Column:
         return distance(F.col("x") - F.col(f"{target}.stimulus_x"), F.col("y") - F.col(f"{target}.stimulus_y"))
 
-    return (rows.join(first_two_targets(rows, width), S.TRIAL, "left")
+    return (rows.join(first_two_targets(rows, width), S.TRIAL)
             .withColumns({"distance_to_stimulus_1": to("_one"), "distance_to_stimulus_2": to("_two")})
             .withColumn("distance_to_nearest_stimulus", F.least("distance_to_stimulus_1", "distance_to_stimulus_2"))
             .drop("_one", "_two"))

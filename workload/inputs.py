@@ -22,11 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as (seq, participant_id, trial_id, t, event_type, value, k)."""
-    ts = F.col("ts").cast("timestamp")
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"), F.col("user_id").alias("participant_id"),
-        F.floor((F.day(ts) - 1) / 6).alias("trial_id"),
-        (F.floor(F.unix_micros(ts) / 1000) - 1704067200000).alias("t"),
+        F.floor((F.day("ts") - 1) / 6).alias("trial_id"),
+        (F.floor(micros / 1000) - 1704067200000).alias("t"),
         "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 

@@ -11,6 +11,7 @@ from saccadia.operators import joins, sample_features, views
 from saccadia.plans.features import experiment_features
 from saccadia.plans.preprocess import preprocess_samples
 from workload import ctes, inputs
+from workload.event_queries import SQL as EVENT_SQL
 from workload.event_queries import rounded_doubles
 from workload.sqltools import KEYS, five, query, rounded
 
@@ -217,3 +218,14 @@ def shapes_features(spark, sf):
     """All SHAPES features side by side; events and samples are those of the participants both tables have."""
     return experiment_features("SHAPES", inputs.prepared_events(spark, sf, "SHAPES"), samples(spark, sf), width=inputs.CHUNK,
                                tolerance=inputs.DAY)
+
+
+PARTS = ["precalc_metrics", "fix_distance", "acceleration", "disconjugacy"]
+
+
+@register("shapes_feature_table", "select * from " + " join ".join(
+    f"({(EVENT_SQL | SQL)[name]}) {name}" + (f" using ({KEYS})" if i else "") for i, name in enumerate(PARTS)))
+def shapes_feature_table(spark, sf):
+    names = ["precalculated", "fixation_distance", "acceleration", "disconjugacy"]
+    return rounded_doubles(experiment_features("SHAPES", inputs.prepared_events(spark, sf, "SHAPES"), samples(spark, sf), names,
+                                               width=inputs.CHUNK))

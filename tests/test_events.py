@@ -139,6 +139,18 @@ def test_zero_duration_gives_no_rate(spark):
     assert event_features.event_rate(rows, "EFIX", "rate").first()["rate"] is None
 
 
+def test_overshoot_needs_a_target(spark):
+    columns = ["seq", "trial_id", "time", "event", "eye", "x", "y", "stimulus_x", "stimulus_y"]
+    rows = [(1, 1, 10, "FIXPOINT", None, None, None, 0.0, 0.0), (2, 1, 20, "FIXPOINT", None, None, None, 100.0, 0.0),
+            (3, 1, 30, "EFIX", "L", 3.0, 4.0, None, None), (4, 1, 40, "EFIX", "R", 100.0, 9.0, None, None),
+            (5, 2, 30, "EFIX", "L", 3.0, 4.0, None, None)]
+    df = spark.createDataFrame(rows, "seq long, trial_id long, time long, event string, eye string, x double, y double, "
+                                     "stimulus_x double, stimulus_y double").select(*columns).withColumns(
+        {"stimulus_active": F.lit(True), "experiment": F.lit("FITTS_LAW"), "participant_id": F.lit(1)})
+    r = event_features.fixation_overshoot(df).first()
+    assert r["fixation_overshoot_mean"] == 7.0 and r["fixation_overshoot_std"] is None
+
+
 def test_stimulus_onset_reorders_antisaccade(spark):
     rows = [(0, "TRIALID"), (5, "START"), (10, "FIXPOINT"), (12, "FIXPOINT"), (500, "ESACC"), (1500, "ESACC"), (3000, "END"),
             (3001, "TRIAL_VAR_DATA")]

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from saccadia.operators.describe import exact_medians
-from saccadia.operators.matrix import feature_columns, long_view
+from saccadia.operators.matrix import long_view
 from saccadia.operators.scan import scan, sum_before
 
 

@@ -6,7 +6,7 @@ saccade segments - into one scan, so the events are shuffled once for all of the
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from saccadia import schemas as S
 from saccadia.functions.scalars import cast_columns
 from saccadia.operators import clean, fills
-from saccadia.operators.blinks import drop_blinked_spans, segment_number
+from saccadia.operators.blinks import drop_blink_saccades, drop_blinked_spans, segment_number
 from saccadia.operators.scan import DEFAULT_CHUNK, following, last, scan, total
 
 
@@ -28,7 +28,6 @@ class Recipe:
     move_onset: bool = False
     fill_side: bool = False
     has_stimulus: bool = True
-    dropped: tuple[str, ...] = field(default=())
 
 
 RECIPES = {
@@ -92,8 +91,6 @@ def preprocess_events(events: DataFrame, experiment: str, tie: str = "seq", widt
     df = df.withColumns({**filled, **fills.relative_times(F.col("_t0"), ["time", "start_time", "end_time"])})
     df = fills.limit_to_screen(df.drop(*[c for c in df.columns if c.startswith("_")]))
     if blink_mode != "scan":
-        from saccadia.operators.blinks import drop_blink_saccades
-
         df = drop_blink_saccades(df, "time", tie, mode=blink_mode, width=width)
     return df
 

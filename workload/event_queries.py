@@ -9,11 +9,11 @@ from saccadia import schemas as S
 from saccadia.functions import scalars as C
 from saccadia.operators import blinks, clean, event_features, fills, joins, views
 from saccadia.operators.scan import first_of_all, last, previous, scan, sum_before, total
-from saccadia.plans.features import experiment_features
 from saccadia.plans.preprocess import preprocess_events
+from saccadia.sources.logs import parse_events
 from workload import ctes, inputs
 from workload.inputs import CHUNK, DAY
-from workload.sqltools import KEYS, five, query, rounded
+from workload.sqltools import KEYS, five, query
 
 SPARK: dict = {}
 SQL: dict[str, str] = {}
@@ -696,8 +696,6 @@ select participant_id, trial_id, time, event, eye, colour, stimulus_x, stimulus_
  round(time_elapsed, 6) as time_elapsed, marks,
  case when event = 'TRIAL_VAR_DATA' then coalesce(shape, '.') end as shape from gaze"""))
 def asc_roundtrip(spark, sf):
-    from saccadia.sources.logs import parse_events
-
     parsed = parse_events(log_lines(spark, sf), "SHAPES", "part", ["at", "place", "line_no"],
                           F.struct("part", F.floor(F.col("at") / CHUNK).alias("c")))
     return rounded_doubles(parsed.select(

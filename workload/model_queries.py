@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from saccadia.operators import cluster
 from saccadia.plans import selection
-from workload import ctes, inputs
+from workload import inputs
 from workload.event_queries import rounded_doubles
-from workload.sqltools import query, rounded
+from workload.sqltools import query
 from workload.table_queries import FEATURES
 
 SPARK: dict = {}

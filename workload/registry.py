@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import importlib
+from workload import event_queries, model_queries, sample_queries, table_queries
 
 SPARK: dict = {}
 SQL: dict[str, str] = {}
 
-for _module in ("event_queries", "sample_queries", "table_queries", "model_queries"):
-    try:
-        _loaded = importlib.import_module(f"workload.{_module}")
-    except ModuleNotFoundError:
-        continue
-    SPARK |= _loaded.SPARK
-    SQL |= _loaded.SQL
+for _module in (event_queries, sample_queries, table_queries, model_queries):
+    SPARK |= _module.SPARK
+    SQL |= _module.SQL

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup
+from . import language_id, near_dup, repeats
 from .common import to_hex
 
 
@@ -19,8 +19,19 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", to_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.removal_digest(_table(spark, folder, "documents"))
+
+
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op8_language_id": op8_language_id,
 }
 
 SQL: dict[str, str] = {}

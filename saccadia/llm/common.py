@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from saccadia.session import ensure_checkpoint_dir, stage
 
-__all__ = ["WordHashes", "ensure_checkpoint_dir", "mix64", "stage", "text_or_empty", "to_hex", "whole_groups"]
+__all__ = ["WordHashes", "each_group", "ensure_checkpoint_dir", "mix64", "stage", "text_or_empty", "to_hex", "whole_groups"]
 
 #: Words kept by a worker with their hashes; the table is emptied when it is full.
 HASH_TABLE_WORDS = 500_000
@@ -51,6 +51,15 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
         yield pa.concat_tables(held)
 
 
+def each_group(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Sorted batches as one table per value of ``key``."""
+    for table in whole_groups(batches, [key]):
+        values = table.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield table.slice(a, b - a)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads every input bit over the 64 output bits."""
     x = x.astype(np.uint64, copy=True)
@@ -74,7 +83,3 @@ class WordHashes(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
-
-def pair_rows(df: DataFrame, *cols: str) -> DataFrame:
-    """The named columns only, so that columns with clashing names never travel."""
-    return df.select(*cols)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, near_dup, repeats
+from . import chat, decontaminate, doc_fingerprint, language_id, lm_score, near_dup, piece_codec, repeats, token_files
 from .common import to_hex
 
 
@@ -19,19 +20,43 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", to_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return doc_fingerprint.fingerprints(_table(spark, folder, "documents"))
+
+
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Target part: the documents labelled as good."""
+    good = _table(spark, folder, "labels").filter("quality = 1").select("doc_id")
+    return lm_score.cross_entropy_difference(_table(spark, folder, "documents"), good)
+
+
 def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.removal_digest(_table(spark, folder, "documents"))
 
 
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.round_trip(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return language_id.identify(docs, language_id.fit(docs))
 
 
-SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash_near_dedup": op1_simhash_near_dedup,
-    "op4_suffix_array_dedup": op4_suffix_array_dedup,
-    "op8_language_id": op8_language_id,
-}
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_codec.encode(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
+def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.render(_table(spark, folder, "conversations"))
+
+
+SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_simhash_near_dedup, op2_document_fingerprints, op3_lm_scoring, op4_suffix_array_dedup, op5_token_files,
+    op6_decontamination, op8_language_id, op9_sentencepiece, op10_chat_formatting)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_chat_formatting": chat.SQL}

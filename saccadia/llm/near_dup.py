@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty, whole_groups
+from .common import mix64, stage, text_or_empty, whole_groups
 from .components import components
 
 #: Blocks of a fingerprint, low bits first, and how many of them must agree when at most RADIUS bits differ.
@@ -196,29 +196,38 @@ def block_masks(blocks: tuple[int, ...], agreeing: int) -> list[int]:
 
 
 def link_forest(values: DataFrame, radius: int = RADIUS, blocks: tuple[int, ...] = BLOCK_BITS) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints ``fp`` whose closure is that of all links within the radius.
-
-    A bucket hands on a forest of its links, never all pairs. Buckets beyond ``BUCKET`` fingerprints are cut into tiles
-    by hash and every two tiles meet in a task of their own, so no task holds more than two tiles and no pair is lost.
-    """
+    """Links (a, b) between the distinct fingerprints ``fp`` whose closure is that of all links within the radius."""
     masks = block_masks(blocks, len(blocks) - radius)
     rows = values.select("fp", F.explode(F.array(*[
         F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])).alias("k")
     ).select("k.t", "k.key", "fp")
+    return bucket_links(rows, radius)
+
+
+def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) within the radius between the fingerprints of each bucket (t, key), as a forest per bucket.
+
+    A bucket hands on a forest of its links, never all pairs. Buckets beyond ``BUCKET`` fingerprints are cut into tiles
+    by hash and every two tiles meet in a task of their own, so no task holds more than two tiles and no pair is lost.
+    """
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("t", "key")))
     keys = ["t", "key"]
     plain = (rows.filter(f"n > 1 and n <= {BUCKET}").sortWithinPartitions(*keys).select(*keys, "fp")
              .mapInArrow(_links(keys, radius), "a long, b long"))
-    tiles = F.ceil(F.col("n") / BUCKET).cast("int")
-    tiled = (rows.filter(f"n > {BUCKET}").withColumn("tiles", tiles)
-             .withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-             .select(*keys, "fp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-             .select(*keys, "fp", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi")))
+    tiled = in_tiles(rows.filter(f"n > {BUCKET}"), BUCKET, "fp")
     keys = [*keys, "lo", "hi"]
     return plain.union(tiled.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "fp")
                        .mapInArrow(_links(keys, radius), "a long, b long"))
 
 
+def in_tiles(rows: DataFrame, size: int, by: str) -> DataFrame:
+    """Rows of groups of ``n`` dealt into tiles of about ``size``; each row goes to every pair (lo, hi) with its tile."""
+    tiles = F.ceil(F.col("n") / size).cast("int")
+    dealt = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64(by), F.col("tiles")).cast("int"))
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns(
+        {"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")})
+
+
 def near_duplicate_components(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that links of <= ``radius`` differing bits can reach.
 
@@ -237,7 +246,148 @@ def near_duplicate_components(docs: DataFrame, width: int = 4, radius: int = RAD
     return found.join(lookup, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate component."""
-    keep = near_duplicate_components(docs, width, radius).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+# ---------------------------------------------------------------- similarity of word shingles
+
+#: Smallest shingle hashes by which texts meet: two texts of similarity 0.8 miss each other with odds of 0.2 ** 5.
+MEETINGS = 5
+#: Fingerprints of texts of similarity 0.8 differ in about 8 bits; beyond this many a pair is not looked at.
+SIMILAR_RADIUS = 18
+#: Texts that one exact comparison holds.
+TEXTS = 1500
+_TURNS = mix64(np.arange(21, 21 + MEETINGS, dtype=np.uint64))
+
+
+def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """Different hashes of the word shingles; fewer words are one shingle, none are none."""
+    if not words:
+        return np.empty(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[k:k + width]), 42) for k in range(max(len(words) - width + 1, 1))], np.uint64))
+
+
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def _whole(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words), 9)
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, fp, whole, meets): fingerprint, hash of all words, and the MEETINGS smallest shingle hashes."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, wholes, meets = [], [], []
+            for text in batch.column(1):
+                text = text.as_py()
+                words = _words(text)
+                shingles = _shingle_hashes(words, width)
+                fps.append(fingerprint(text, width))
+                wholes.append(_whole(words))
+                meets.append([int(mix64(shingles ^ t).min()) for t in _TURNS] if len(shingles) else [0] * MEETINGS)
+            as_long = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+            flat = np.array(meets, np.uint64).reshape(-1).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), as_long(fps), as_long(wholes), pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * MEETINGS, pa.int32()), pa.array(flat))],
+                ["doc_id", "fp", "whole", "meets"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(
+        run, "doc_id long, fp long, whole long, meets array<long>")
+
+
+def similar_pairs(sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
+    """A forest of the pairs of sets with a Jaccard similarity of at least ``least``."""
+    sizes = np.array([len(s) for s in sets])
+    _, item = np.unique(np.concatenate(sets) if len(sets) else np.empty(0, np.uint64), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(item, kind="stable")
+    owners, first = owner[order], np.searchsorted(item[order], np.arange(item.max() + 2 if len(item) else 1))
+    ends = np.cumsum(sizes)
+    above = list(range(len(sets)))
+
+    def top(k: int) -> int:
+        while above[k] != k:
+            above[k] = above[above[k]]
+            k = above[k]
+        return k
+
+    for i in range(len(sets)):
+        mine = item[ends[i] - sizes[i]:ends[i]]
+        start, count = first[mine], first[mine + 1] - first[mine]
+        spots = np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        shared = np.bincount(owners[spots], minlength=len(sets))
+        for j in (np.flatnonzero(shared[i + 1:] >= least * (sizes[i] + sizes[i + 1:] - shared[i + 1:]) - 1e-9) + i + 1).tolist() if sizes[i] else []:
+            a, b = top(i), top(j)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+                yield i, j
+
+
+def _exact(keys: list[str], least: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, keys):
+            new = np.zeros(table.num_rows, bool)
+            new[1:] = np.logical_or.reduce([(v := table.column(k).to_numpy())[1:] != v[:-1] for k in keys])
+            cuts = [0, *np.flatnonzero(new).tolist(), table.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                names = table.column("node").slice(a, b - a).to_numpy()
+                links = list(similar_pairs([s.values.to_numpy().view(np.uint64) for s in table.column("shingles").slice(a, b - a)], least))
+                if links:
+                    i, j = np.array(links).T
+                    yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(names[j])], ["a", "b"])
+
+    return run
+
+
+def _sets(width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The shingles of the texts asked for; another text under the same doc_id is passed over."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, shingles = [], []
+            for k, (text, whole) in enumerate(zip(batch.column("text"), batch.column("whole").to_pylist(), strict=True)):
+                words = _words(text.as_py())
+                if _whole(words) == whole % (1 << 64):
+                    keep.append(k)
+                    shingles.append(_shingle_hashes(words, width).view(np.int64))
+            taken = batch.take(pa.array(keep, pa.int64()))
+            ends = np.concatenate(([0], np.cumsum([len(s) for s in shingles])))
+            yield pa.RecordBatch.from_arrays([taken.column("root"), taken.column("node"), taken.column("n"), pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.array(np.concatenate(shingles) if shingles else [], pa.int64()))], ["root", "node", "n", "shingles"])
+
+    return run
+
+
+def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of the texts whose word shingles have a Jaccard similarity of ``least`` with another.
+
+    Texts that share one of their smallest shingle hashes meet in a bucket, where their fingerprints are compared
+    bit-sliced with a wide radius; what is close gets into one group, and inside a group all shingle sets are compared
+    exactly. Texts of equal words are one class throughout. component_id is the smallest doc_id. Texts without words are
+    one class. Rows without doc_id take part but have no say in component_id.
+    """
+    found = stage(sketches(docs, width).withColumn("node", F.xxhash64("fp", "whole")), "sketches")
+    classes = stage(found.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("whole").alias("whole"),
+                                              F.first("meets").alias("meets")), "classes")
+    rows = classes.select("fp", F.posexplode("meets").alias("t", "key")).select("t", "key", "fp").distinct()
+    near = components(bucket_links(rows, SIMILAR_RADIUS)).select(F.col("node").alias("fp"), "root")
+    groups = classes.join(near, "fp", "left").select("node", "first_id", "whole", F.coalesce("root", "fp").alias("root"))
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
+    asked = groups.join(sizes, "root").withColumnRenamed("first_id", "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(asked, "doc_id")
+    sets = stage(texts.select("root", "node", "n", "whole", "text").mapInArrow(_sets(width), "root long, node long, n long, shingles array<long>"), "sets")
+    plain = sets.filter(f"n <= {TEXTS}").repartition("root").sortWithinPartitions("root").mapInArrow(_exact(["root"], least), "a long, b long")
+    keys = ["root", "lo", "hi"]
+    tiled = in_tiles(sets.filter(f"n > {TEXTS}"), TEXTS, "node").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_exact(keys, least), "a long, b long")
+    named = classes.join(components(plain.union(tiled)), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    named = stage(named, "named")
+    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return found.select("doc_id", "node").join(named.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that a similar text of smaller doc_id stands for.
+
+    Rows without doc_id stay, and so do repeated rows of a doc_id that stays.
+    """
+    gone = similar_components(docs, width, least).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, doc_fingerprint, language_id, lm_score, near_dup, piece_codec, repeats, token_files
+from . import chat, decontaminate, doc_fingerprint, html_blocks, language_id, lm_score, near_dup, piece_codec, repeats, token_files
 from .common import to_hex
 
 
@@ -42,6 +42,11 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    return html_blocks.extract(pages, html_blocks.fit(pages))
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -57,6 +62,6 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_document_fingerprints, op3_lm_scoring, op4_suffix_array_dedup, op5_token_files,
-    op6_decontamination, op8_language_id, op9_sentencepiece, op10_chat_formatting)}
+    op6_decontamination, op7_html_extraction, op8_language_id, op9_sentencepiece, op10_chat_formatting)}
 
 SQL: dict[str, str] = {"op10_chat_formatting": chat.SQL}

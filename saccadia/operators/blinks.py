@@ -20,18 +20,19 @@ def drop_blinked_spans(numbered: DataFrame, axis: str, tie: str) -> DataFrame:
     Needs the column of ``segment_number``. Spans with a blink are few, so the anti join side is small.
     """
     event, key = F.col("event"), order_key(axis, [tie])
+    by = [*S.trial_of(numbered), "_segment"]
 
     def keys_of(name: str):
         return F.when(event == name, key)
 
     spans = (numbered.where(event.isin("SSACC", "ESACC", "SBLINK", "EBLINK"))
-             .groupBy(*S.TRIAL, "_segment")
+             .groupBy(*by)
              .agg(F.max(event == "ESACC").alias("closed"), F.min(keys_of("SSACC")).alias("_from"),
                   F.max(keys_of("SBLINK")).alias("s"), F.max(keys_of("EBLINK")).alias("e"))
              .where(F.col("closed") & (F.col("s") > F.col("_from")) & (F.col("e") > F.col("_from")))
-             .select(*[F.col(c).alias(f"_k_{c}") for c in [*S.TRIAL, "_segment"]], "_from"))
+             .select(*[F.col(c).alias(f"_k_{c}") for c in by], "_from"))
     inside = key >= F.col("_from")
-    for c in [*S.TRIAL, "_segment"]:
+    for c in by:
         inside = inside & (F.col(c) == F.col(f"_k_{c}"))
     return numbered.join(spans, inside, "left_anti").drop("_segment")
 
@@ -44,7 +45,7 @@ def drop_blink_saccades(events: DataFrame, axis: str = "time", tie: str = "seq",
     eye overlaps its interval.
     """
     if mode == "scan":
-        kept = drop_blinked_spans(scan(events, S.TRIAL, axis, [tie], segment_number(), width=width), axis, tie)
+        kept = drop_blinked_spans(scan(events, S.trial_of(events), axis, [tie], segment_number(), width=width), axis, tie)
     elif mode == "overlap":
         kept = _without_overlapped(events, tie, width)
     else:
@@ -56,13 +57,13 @@ def _without_overlapped(events: DataFrame, tie: str, width: int) -> DataFrame:
     # A saccade [s, e] is blinked when some blink [b, c] has b <= e and c >= s: among the blinks that start no later
     # than e, the one that ends last decides. That is a running maximum over saccade ends and blink starts.
     event = F.col("event")
-    is_blink = event == "EBLINK"
+    is_blink, by = event == "EBLINK", S.trial_of(events)
     marks = events.where(event.isin("ESACC", "EBLINK") & F.col("eye").isNotNull()).select(
-        *S.TRIAL, "eye", F.col(tie), "event", "start_time", "end_time",
+        *by, "eye", F.col(tie), "event", "start_time", "end_time",
         F.when(is_blink, F.col("start_time")).otherwise(F.col("end_time")).alias("_at"),
         F.when(is_blink, 0).otherwise(1).alias("_rank"))
-    seen = scan(marks, [*S.TRIAL, "eye"], "_at", ["_rank", tie],
+    seen = scan(marks, [*by, "eye"], "_at", ["_rank", tie],
                 {"_blink_end": running_max(F.when(is_blink, F.col("end_time")))}, width=width)
     blinked = (seen.where((event == "ESACC") & (F.col("_blink_end") >= F.col("start_time")))
-               .select(*S.TRIAL, F.col(tie)))
-    return events.join(blinked, [*S.TRIAL, tie], "left_anti")
+               .select(*by, F.col(tie)))
+    return events.join(blinked, [*by, tie], "left_anti")

@@ -52,7 +52,7 @@ def rule_holds(count: Column, smallest: int, largest: int | None) -> Column:
 def trial_checks(events: DataFrame, experiment: str) -> DataFrame:
     """One row per trial with the count of every rule and the verdict ``is_valid``: one conditional aggregate."""
     rules = trial_rules(experiment)
-    counts = events.groupBy(*S.TRIAL).agg(*[F.sum(as_count(c)).alias(f"n_{n.lower()}") for n, (c, _, _) in rules.items()])
+    counts = events.groupBy(*S.trial_of(events)).agg(*[F.sum(as_count(c)).alias(f"n_{n.lower()}") for n, (c, _, _) in rules.items()])
     verdict = F.lit(True)
     for name, (_, low, high) in rules.items():
         verdict = verdict & rule_holds(F.col(f"n_{name.lower()}"), low, high)
@@ -62,10 +62,12 @@ def trial_checks(events: DataFrame, experiment: str) -> DataFrame:
 def clean_events(events: DataFrame, experiment: str, excluded: list[int] | None = None) -> DataFrame:
     """Rows of valid trials. Every rule looks only at its own trial, so all rules share one aggregate and semi join."""
     kept = keep_rows(events, experiment, excluded)
-    valid = trial_checks(kept, experiment).where("is_valid").select(*S.TRIAL)
-    return kept.join(valid, S.TRIAL, "left_semi")
+    by = S.trial_of(kept)
+    valid = trial_checks(kept, experiment).where("is_valid").select(*by)
+    return kept.join(valid, by, "left_semi")
 
 
 def removed_trials(before: DataFrame, after: DataFrame) -> DataFrame:
     """Trials that lost all their rows."""
-    return before.select(*S.TRIAL).distinct().join(after.select(*S.TRIAL).distinct(), S.TRIAL, "left_anti")
+    by = S.trial_of(before)
+    return before.select(*by).distinct().join(after.select(*by).distinct(), by, "left_anti")

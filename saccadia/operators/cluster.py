@@ -19,6 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from saccadia.operators import mixtures
 from saccadia.operators.scan import scan, sum_before
 from saccadia.operators.stats import co_moments, value_chunks
 
@@ -62,7 +63,7 @@ def discriminant_axis(df: DataFrame, features: Sequence[str], y: str = "y") -> t
     Class means and the pooled scatter come from Spark; the driver solves one p x p system.
     """
     features = list(features)
-    means = {r[y]: r for r in df.groupBy(y).agg(F.count("*").alias("_n"), *[F.avg(f).alias(f) for f in features]).collect()}
+    means = {r[y]: r for r in df.groupBy(y).agg(F.count("*").alias("_n"), *[F.avg(f).alias(f) for f in features]).limit(3).collect()}
     if len(means) != 2:
         raise ValueError("two classes are needed")
     low, high = (means[k] for k in sorted(means))
@@ -152,6 +153,13 @@ def silhouette(points: DataFrame, features: Sequence[str], key: str = "id", clus
     return scored.agg(F.when(several, F.avg("silhouette")).alias("silhouette"))
 
 
+def mean_silhouette(points: DataFrame, features: Sequence[str], key: str = "id", score: str = "squared") -> DataFrame:
+    """Mean silhouette: ``squared`` is linear in the number of points, ``exact`` compares all of them."""
+    if score not in ("squared", "exact"):
+        raise ValueError(f"unknown score {score!r}")
+    return (silhouette_squared if score == "squared" else silhouette)(points, features, key)
+
+
 def silhouette_squared(points: DataFrame, features: Sequence[str], key: str = "id", cluster: str = "cluster") -> DataFrame:
     """Silhouette on squared Euclidean distances, linear in the number of points.
 
@@ -264,17 +272,21 @@ def label(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def cluster_range(df: DataFrame, features: Sequence[str], key: str = "id", factory: Factory = gaussian_mixture, low: int = 2,
-                  high: int = 10, parallelism: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Scores per number of clusters and the labels (key, n_clusters, cluster), for low <= k < high."""
+                  high: int = 10, parallelism: int = 4, score: str = "squared") -> tuple[DataFrame, DataFrame]:
+    """Scores per number of clusters and the labels (key, n_clusters, cluster), for low <= k < high.
+
+    ``score`` as in ``mean_silhouette``.
+    """
     base = df.persist()
     with ThreadPool(parallelism) as pool:
         fitted = pool.map(lambda k: fit_clusters(base, features, k, factory)[1], range(low, high))
     scores, labels = [], []
     for k, rows in zip(range(low, high), fitted):
-        score = silhouette(rows, features, key).withColumn("_j", F.lit(0)).join(
+        both = mean_silhouette(rows, features, key, score).withColumn("_j", F.lit(0)).join(
             davies_bouldin(rows, features).withColumn("_j", F.lit(0)), "_j")
-        scores.append(score.select(F.lit(k).alias("n_clusters"), "silhouette", "davies_bouldin"))
+        scores.append(both.select(F.lit(k).alias("n_clusters"), "silhouette", "davies_bouldin"))
         labels.append(rows.select(key, F.lit(k).alias("n_clusters"), "cluster"))
+    base.unpersist()
     return _stack(scores), _stack(labels)
 
 
@@ -293,17 +305,27 @@ def control_overlay(patients: DataFrame, controls: DataFrame) -> DataFrame:
 # --- search over feature sets ----------------------------------------------------------------------------------------
 
 def score_candidates(df: DataFrame, candidates: Sequence[tuple[Sequence[str], int]], key: str = "id",
-                     factory: Factory = gaussian_mixture, parallelism: int = 4) -> list[dict]:
-    """Silhouette of one model per (features, k). The fits are separate Spark jobs, a few at a time."""
-    def score(candidate):
-        features, k = candidate
-        _, rows = fit_clusters(df, features, k, factory)
-        scored = silhouette_points(rows, features, key)
-        r = scored.agg(F.avg("silhouette").alias("s"), F.countDistinct("cluster").alias("n")).first()
-        return {"features": list(features), "k": k, "n_clusters": r["n"], "silhouette": r["s"] if r["n"] > 1 else None}
+                     factory: Factory = gaussian_mixture, parallelism: int = 4, score: str = "squared") -> list[dict]:
+    """Silhouette of one model per (features, k).
+
+    Mixtures with the squared score share every pass over the points; other models or scores are separate jobs.
+    """
+    candidates = [(list(names), k) for names, k in candidates]
+    if factory is gaussian_mixture and score == "squared":
+        features = sorted({f for names, _ in candidates for f in names})
+        points, models = mixtures.fit(df, features, candidates)
+        found = mixtures.squared_silhouettes(points, models)
+        points.unpersist()
+        return [{"features": names, "k": k, "n_clusters": n, "silhouette": s} for (names, k), (n, s) in zip(candidates, found)]
+
+    def one(candidate):
+        names, k = candidate
+        _, rows = fit_clusters(df, names, k, factory)
+        s = mean_silhouette(rows, names, key, score).first()["silhouette"]
+        return {"features": names, "k": k, "n_clusters": rows.select("cluster").distinct().count(), "silhouette": s}
 
     with ThreadPool(parallelism) as pool:
-        return pool.map(score, list(candidates))
+        return pool.map(one, candidates)
 
 
 def best_per_k(rows: DataFrame, k: str = "n_clusters", score: str = "silhouette") -> DataFrame:
@@ -335,9 +357,8 @@ def _rows(df: DataFrame, found: Sequence[dict]) -> DataFrame:
 def brute_force(df: DataFrame, features: Sequence[str], key: str = "id", factory: Factory = gaussian_mixture,
                 choose: int = 2, low: int = 2, high: int = 10, parallelism: int = 4) -> DataFrame:
     """Best feature set of ``choose`` features per number of clusters, over all sets and low <= k < high."""
-    base = df.persist()
     candidates = [(c, k) for k in range(low, high) for c in combinations(features, choose)]
-    found = score_candidates(base, candidates, key, factory, parallelism)
+    found = score_candidates(df, candidates, key, factory, parallelism)
     rows = _rows(df, [f for f in found if f["silhouette"] is not None])
     return best_per_k(rows, "k").drop("n_clusters").withColumnRenamed("k", "n_clusters")
 
@@ -348,25 +369,24 @@ def add_features(df: DataFrame, features: Sequence[str], starts: Sequence[tuple[
 
     A round always adds its best feature to the trial set; the chosen set only grows when the overall score improves.
     """
-    base = df.persist()
-    chosen = []
-    for start, k, score in starts:
-        trial, kept, best, n_best = list(start), list(start), score, k
-        left = [f for f in features if f not in start]
-        for _ in range(patience + 1):
-            if not left:
-                break
-            found = score_candidates(base, [(sorted({f, *trial}), k) for f in left], key, factory, parallelism)
-            ranked = [(r["silhouette"], -i) for i, r in enumerate(found) if (r["silhouette"] or 0) > 0]
+    states = [{"trial": list(s), "kept": list(s), "best": score, "n": k, "k": k, "open": True} for s, k, score in starts]
+    for _ in range(patience + 1):
+        # all starts of a round are scored together
+        tasks = [(s, f) for s in states if s["open"] for f in features if f not in s["trial"]]
+        if not tasks:
+            break
+        found = score_candidates(df, [(sorted({f, *s["trial"]}), s["k"]) for s, f in tasks], key, factory, parallelism)
+        for s in states:
+            ranked = [(r["silhouette"], -i) for i, ((t, _), r) in enumerate(zip(tasks, found)) if t is s and (r["silhouette"] or 0) > 0]
             if not ranked:
-                break
+                s["open"] = False
+                continue
             top, at = max(ranked)
-            name, n = left[-at], found[-at]["n_clusters"]
-            trial.append(name)
-            left.remove(name)
-            if top > best:
-                kept, best, n_best = [*kept, name], top, n
-        chosen.append({"features": kept, "k": k, "n_clusters": n_best, "silhouette": best})
+            name = tasks[-at][1]
+            s["trial"].append(name)
+            if top > s["best"]:
+                s |= {"kept": [*s["kept"], name], "best": top, "n": found[-at]["n_clusters"]}
+    chosen = [{"features": s["kept"], "k": s["k"], "n_clusters": s["n"], "silhouette": s["best"]} for s in states]
     rows = best_per_k(_rows(df, chosen)).drop("k")
     return rows.withColumn("n_features", F.size("features"))
 
@@ -374,8 +394,8 @@ def add_features(df: DataFrame, features: Sequence[str], starts: Sequence[tuple[
 def tune(df: DataFrame, features: Sequence[str], key: str = "id", factory: Factory = gaussian_mixture, choose: int = 2,
          low: int = 2, high: int = 6, patience: int = 0, parallelism: int = 4) -> DataFrame:
     """Brute force over small feature sets, then growth of the best ones."""
-    starts = [(r["features"], r["n_clusters"], r["silhouette"])
-              for r in brute_force(df, features, key, factory, choose, low, high, parallelism).collect()]
+    best = brute_force(df, features, key, factory, choose, low, high, parallelism).withColumn("position", F.concat_ws(",", "features"))
+    starts = [(r["features"], r["n_clusters"], r["silhouette"]) for r in distinct_feature_sets(best).orderBy("n_clusters", "position").collect()]
     return add_features(df, features, starts, key, factory, patience, parallelism)
 
 
@@ -403,7 +423,7 @@ def _centres(model) -> list[list[float]]:
 
 
 def fold_scores(train: DataFrame, test: DataFrame, features: Sequence[str], k: int, y: str = "y", key: str = "id",
-                factory: Factory = gaussian_mixture) -> DataFrame:
+                factory: Factory = gaussian_mixture, score: str = "squared") -> DataFrame:
     """Within and between cluster sums, silhouette and purity on test rows of a model fitted to the train rows."""
     model, _ = fit_clusters(train, features, k, factory)
     rows = label(model, test, features)
@@ -414,7 +434,7 @@ def fold_scores(train: DataFrame, test: DataFrame, features: Sequence[str], k: i
         F.avg(F.pow(_gap(F.col("v"), F.col("m")), 2)).alias("w"), F.count("*").alias("n")).withColumn("_j", F.lit(0))
     sums = per_cluster.join(overall.withColumn("_j", F.lit(0)), "_j").agg(
         F.sum("w").alias("wcss"), F.sum(F.col("n") * F.pow(_gap(F.col("m"), F.col("g")), 2)).alias("bcss"))
-    parts = [sums, silhouette(rows, features, key), purity(rows, "cluster", y)]
+    parts = [sums, mean_silhouette(rows, features, key, score), purity(rows, "cluster", y)]
     out = parts[0].withColumn("_j", F.lit(0))
     for p in parts[1:]:
         out = out.join(p.withColumn("_j", F.lit(0)), "_j")

@@ -74,7 +74,7 @@ def event_rate(events: DataFrame, event: str, name: str, eye: str | None = None,
     A zero duration gives no rate.
     """
     rows = active_rows(events, eye)
-    timed = scan(rows, S.TRIAL, "time", ["seq"],
+    timed = scan(rows, TRIAL, "time", ["seq"],
                  {"_shown": last(F.when(_event("FIXPOINT"), F.col("time"))), "_end": total(F.max, F.col("time"))},
                  width=width)
     seconds = (F.col("_end") - F.col("_shown")) / 1000
@@ -98,7 +98,7 @@ def saccades_per_second(events: DataFrame, width: int = DEFAULT_CHUNK) -> DataFr
 def one_eye_rate(events: DataFrame, event: str, name: str, eye: str = "R", width: int = DEFAULT_CHUNK) -> DataFrame:
     """Mean and std of the per-stimulus rates of one eye."""
     rows = active_rows(events, eye)
-    timed = scan(rows, S.TRIAL, "time", ["seq"],
+    timed = scan(rows, TRIAL, "time", ["seq"],
                  {"_shown": last(F.when(_event("FIXPOINT"), F.col("time"))), "_end": total(F.max, F.col("time"))},
                  width=width)
     seconds = (F.col("_end") - F.col("_shown")) / 1000
@@ -111,7 +111,7 @@ def one_eye_rate(events: DataFrame, event: str, name: str, eye: str = "R", width
 
 def _judged(rows: DataFrame, correct: Column, extra: dict, width: int) -> DataFrame:
     rows = rows.withColumn("is_saccade_correct", correct)
-    return scan(rows, S.TRIAL, "time", ["seq"], {
+    return scan(rows, TRIAL, "time", ["seq"], {
         **extra, "is_trial_correct": first_of_all(F.col("is_saccade_correct"))}, width=width)
 
 
@@ -130,7 +130,7 @@ def reaction_rows(events: DataFrame, vertical: str = "reference", width: int = D
     """Active rows with the verdict on each saccade and on the trial: right means towards the shown stimulus."""
     rows = events.where("stimulus_active")
     shown = F.when(_event("FIXPOINT"), centre_area(F.col("stimulus_x"), F.col("stimulus_y"), vertical))
-    rows = scan(rows.withColumn("saccade_direction", F.when(_event("ESACC"), saccade_direction_2d())), S.TRIAL, "time",
+    rows = scan(rows.withColumn("saccade_direction", F.when(_event("ESACC"), saccade_direction_2d())), TRIAL, "time",
                 ["seq"], {"stimulus_direction": last(shown),
                           "stimulus_time": last(F.when(_event("FIXPOINT"), F.col("time")))}, width=width)
     direction = F.col("saccade_direction")
@@ -141,7 +141,7 @@ def reaction_rows(events: DataFrame, vertical: str = "reference", width: int = D
 
 def _with_trial_verdict(rows: DataFrame) -> DataFrame:
     verdict = F.col("is_saccade_correct")
-    return attach(rows, S.TRIAL,
+    return attach(rows, TRIAL,
                   is_trial_correct=F.min_by(verdict, F.when(verdict.isNotNull(), order_key("time", ["seq"]))))
 
 
@@ -173,10 +173,10 @@ def reaction_time(judged: DataFrame) -> DataFrame:
 
 def first_two_targets(rows: DataFrame, width: int = DEFAULT_CHUNK) -> DataFrame:
     """Coordinates of the first and second FIXPOINT of each trial."""
-    points = rows.where(_event("FIXPOINT")).select(*S.TRIAL, "time", "seq", "stimulus_x", "stimulus_y")
-    numbered = scan(points, S.TRIAL, "time", ["seq"], {"_n": sum_before(F.lit(1))}, width=width).where("_n < 2")
+    points = rows.where(_event("FIXPOINT")).select(*TRIAL, "time", "seq", "stimulus_x", "stimulus_y")
+    numbered = scan(points, TRIAL, "time", ["seq"], {"_n": sum_before(F.lit(1))}, width=width).where("_n < 2")
     at = F.struct("stimulus_x", "stimulus_y")
-    return numbered.groupBy(*S.TRIAL).agg(F.max(F.when(F.col("_n") == 0, at)).alias("_one"),
+    return numbered.groupBy(*TRIAL).agg(F.max(F.when(F.col("_n") == 0, at)).alias("_one"),
                                           F.max(F.when(F.col("_n") == 1, at)).alias("_two"))
 
 
@@ -185,7 +185,7 @@ def nearest_target_distance(rows: DataFrame, width: int = DEFAULT_CHUNK) -> Data
     def to(target: str) -> Column:
         return distance(F.col("x") - F.col(f"{target}.stimulus_x"), F.col("y") - F.col(f"{target}.stimulus_y"))
 
-    return (rows.join(first_two_targets(rows, width), S.TRIAL)
+    return (rows.join(first_two_targets(rows, width), TRIAL)
             .withColumns({"distance_to_stimulus_1": to("_one"), "distance_to_stimulus_2": to("_two")})
             .withColumn("distance_to_nearest_stimulus", F.least("distance_to_stimulus_1", "distance_to_stimulus_2"))
             .drop("_one", "_two"))
@@ -227,9 +227,9 @@ def wrong_direction_share(events: DataFrame, eye: str | None = None, stats=FIVE)
 def timed_saccades_per_second(events: DataFrame, eye: str | None = None, stats=FIVE) -> DataFrame:
     """Saccades before the elapsed time, per second of it."""
     elapsed = F.col("time_elapsed")
-    spent = events.groupBy(*S.TRIAL).agg(
+    spent = events.groupBy(*TRIAL).agg(
         F.min_by(elapsed, F.when(elapsed.isNotNull(), order_key("time", ["seq"]))).alias("_s"))
     per_eye = (_timed_saccades(events, eye).groupBy(*TRIAL, "eye").agg(F.count("*").alias("_n"))
-               .join(spent, S.TRIAL).select(*TRIAL, F.try_divide(F.col("_n"), F.col("_s")).alias("_rate")))
+               .join(spent, TRIAL).select(*TRIAL, F.try_divide(F.col("_n"), F.col("_s")).alias("_rate")))
     return five_stats(_mean_over_eyes(per_eye, "_rate", "saccades_per_second"), PARTICIPANT,
                       {"saccades_per_second": F.col("saccades_per_second")}, stats)

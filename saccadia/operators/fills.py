@@ -20,7 +20,7 @@ def fill(events: DataFrame, columns: list[str], how: str = "forward", by: list[s
     ``how``: ``forward``, ``backward``, ``backward_forward`` or ``forward_backward``. With ``scope='global'`` the second
     pass of a two-way fill also crosses trial borders: a trial without any value takes the value of a trial before it.
     """
-    by = S.TRIAL if by is None else by
+    by = S.trial_of(events) if by is None else by
     items = {}
     for c in columns:
         if how in ("forward", "forward_backward", "backward_forward"):
@@ -74,7 +74,7 @@ def trial_clock(frame: DataFrame, columns: list[str] | None = None, origin: str
     """Times relative to the first time of the trial, or to its START event with ``origin='trial_start'``."""
     columns = [c for c in ("time", "start_time", "end_time") if c in frame.columns] if columns is None else columns
     at = F.col("time") if origin == "trial_min" else F.when(F.col("event") == "START", F.col("time"))
-    return attach(frame, S.TRIAL, _t0=F.min(at)).withColumns(relative_times(F.col("_t0"), columns)).drop("_t0")
+    return attach(frame, S.trial_of(frame), _t0=F.min(at)).withColumns(relative_times(F.col("_t0"), columns)).drop("_t0")
 
 
 def activation(experiment: str) -> Column | None:
@@ -99,7 +99,7 @@ def is_active(axis: str = "time", tie: str = "seq") -> Column:
 def stimulus_active(events: DataFrame, experiment: str, axis: str = "time", tie: str = "seq") -> DataFrame:
     """False before the first activating event of the trial, true from it on."""
     key = order_key(axis, [tie])
-    return (attach(events, S.TRIAL, _on=F.min(F.when(activation(experiment), key)))
+    return (attach(events, S.trial_of(events), _on=F.min(F.when(activation(experiment), key)))
             .withColumn("stimulus_active", is_active(axis, tie)).drop("_on"))
 
 
@@ -118,7 +118,7 @@ def onset_time() -> Column:
 def stimulus_onset(events: DataFrame, axis: str = "time", tie: str = "seq") -> DataFrame:
     key = order_key(axis, [tie])
     data = F.col("event") == "TRIAL_VAR_DATA"
-    return (attach(events, S.TRIAL,
+    return (attach(events, S.trial_of(events),
                    _white=F.min_by(F.struct(F.col("time").alias("t")), F.when(F.col("colour") == S.WHITE, key)),
                    _elapsed=F.min_by(F.struct(F.col("time_elapsed").alias("s")), F.when(data, key)))
             .withColumn("time", onset_time()).drop("_white", "_elapsed"))

@@ -20,6 +20,7 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], columns: Sequence
 
     ``backward`` takes the last right row at or before the left one, ``nearest`` the closer of that row and the first
     later one (a distance tie goes backward). A match farther than ``tolerance`` is dropped; the limit itself counts.
+    A left row without a time matches nothing.
     Both sides are put in one ordered scan, so the cost is one shuffle of the left side however many right rows match.
     """
     by, columns = list(by), list(columns)
@@ -38,7 +39,8 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], columns: Sequence
         ahead = F.col("_ahead._on") - F.col(on)
         use_back = F.col("_back").isNotNull() & (F.col("_ahead").isNull() | (gap <= ahead))
         match = F.when(use_back, F.col("_back")).otherwise(F.col("_ahead"))
-    found = found.withColumn("_match", match)
+    # Rows without a time stand behind all others in the scan, but are near to nothing.
+    found = found.withColumn("_match", F.when(F.col(on).isNotNull(), match))
     if tolerance is not None:
         near = F.abs(F.col(on) - F.col("_match._on")) <= tolerance
         found = found.withColumn("_match", F.when(near, F.col("_match")))
@@ -52,19 +54,20 @@ def with_fixpoints(samples: DataFrame, events: DataFrame, experiment: str, toler
     """Samples with the fixpoint shown: the latest one for FIXATIONS, the nearest within the tolerance elsewhere."""
     points = events.where(F.col("event") == "FIXPOINT").withColumn("fixpoint", colour_name(F.col("colour")))
     columns = ["event", "fixpoint", "stimulus_x", "stimulus_y"]
+    by = S.trial_of(samples) if "experiment" in points.columns else S.TRIAL
     if experiment == "FIXATIONS":
-        return asof(samples, points, S.TRIAL, columns, width=width)
-    return asof(samples, points, S.TRIAL, columns, direction="nearest", tolerance=tolerance, width=width)
+        return asof(samples, points, by, columns, width=width)
+    return asof(samples, points, by, columns, direction="nearest", tolerance=tolerance, width=width)
 
 
 def trial_intervals(events: DataFrame, trial_key: str = "trial_id") -> DataFrame:
     """START and END time per trial; ``trial_key='ordinal'`` numbers the trials of a participant from 0."""
     event, time = F.col("event"), F.col("time")
-    spans = (events.where(event.isin("START", "END") & F.col("trial_id").isNotNull()).groupBy(*S.TRIAL)
+    spans = (events.where(event.isin("START", "END") & F.col("trial_id").isNotNull()).groupBy(*S.trial_of(events))
              .agg(F.max(F.when(event == "START", time)).alias("start_time"),
                   F.max(F.when(event == "END", time)).alias("end_time")))
     if trial_key == "ordinal":
-        rank = F.row_number().over(W.partitionBy("participant_id").orderBy("trial_id"))
+        rank = F.row_number().over(W.partitionBy(*S.trial_of(events)[:-1]).orderBy("trial_id"))
         spans = spans.withColumn("trial_id", (rank - 1).cast("bigint"))
     return spans
 

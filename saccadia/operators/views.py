@@ -30,7 +30,7 @@ def per_eye_events(events: DataFrame, fallback: str = "start_time", two_way: tup
     items = {f"_f_{c}": last(F.col(c)) for c in FILLED}
     items |= {f"_f_{c}": last(F.col(c)) for c in two_way} | {f"_b_{c}": following(F.col(c)) for c in two_way}
     items |= {"_t0": total(F.min, F.col("time")), "_side": first_of_all(F.col("side"))}
-    done = scan(rows, [*S.TRIAL, "eye"], "time", ["seq"], items, width=width)
+    done = scan(rows, [*S.trial_of(rows), "eye"], "time", ["seq"], items, width=width)
     return done.withColumns({
         **{c: F.col(f"_f_{c}") for c in FILLED}, **{c: F.coalesce(f"_f_{c}", f"_b_{c}") for c in two_way},
         "side": F.col("_side"), **relative_times(F.col("_t0"), ["time", "start_time", "end_time"])}).drop(*items)
@@ -47,7 +47,7 @@ def scan_path(events: DataFrame, experiment: str, width: int = DEFAULT_CHUNK) ->
         rows = rows.where(F.col("colour").isin(S.WHITE, S.RED))
     rows = rows.withColumns({"plot_x": F.coalesce("x", "stimulus_x"), "plot_y": F.coalesce("y", "stimulus_y"),
                              "plot_class": F.coalesce(scan_path_class(experiment), F.lit(""))})
-    numbered = scan(rows, [*S.TRIAL, "eye", "plot_class"], "time", ["seq"], {"_n": sum_before(F.lit(1))}, width=width)
+    numbered = scan(rows, [*S.trial_of(rows), "eye", "plot_class"], "time", ["seq"], {"_n": sum_before(F.lit(1))}, width=width)
     return numbered.select(*S.TRIAL, "eye", "time", "seq", "event", "plot_x", "plot_y",
                            F.when(F.col("plot_class") != "", F.col("plot_class")).alias("plot_class"),
                            (F.col("_n") + 1).alias("event_nr"))
@@ -59,7 +59,7 @@ def incorrect_trials(events: DataFrame, people: DataFrame, eye: str = "L", width
     kinds = ("FIXPOINT", "EFIX", "START", "END", "TRIALID", "TRIAL_VAR_DATA")
     rows = rows.where((F.col("eye") == eye) & F.col("event").isin(*kinds))
     wrong = F.coalesce(gaze_direction() == F.col("side"), F.lit(False))
-    trials = rows.groupBy(*S.TRIAL).agg(F.bool_or(wrong).alias("is_trial_incorrect"))
+    trials = rows.groupBy(*S.trial_of(rows)).agg(F.bool_or(wrong).alias("is_trial_incorrect"))
     return (trials.join(people.select("participant_id", "group"), "participant_id", "left")
             .groupBy("group", "is_trial_incorrect").agg(F.count("*").alias("n")))
 
@@ -67,16 +67,16 @@ def incorrect_trials(events: DataFrame, people: DataFrame, eye: str = "L", width
 def fixations_by_group(events: DataFrame, people: DataFrame, eye: str = "R") -> DataFrame:
     """Mean over participants of their mean number of fixations per trial, by group."""
     fixations = events.where((F.col("event") == "EFIX") & (F.col("eye").isNull() | (F.col("eye") == eye)))
-    per_trial = fixations.groupBy(*S.TRIAL).agg(F.count("*").alias("n"))
+    per_trial = fixations.groupBy(*S.trial_of(fixations)).agg(F.count("*").alias("n"))
     per_person = per_trial.groupBy("participant_id").agg(F.avg("n").alias("avg_fix_pr_trial"))
     return (per_person.join(people.select("participant_id", "group"), "participant_id", "left")
             .groupBy("group").agg(F.avg("avg_fix_pr_trial").alias("avg_fix_pr_trial")))
 
 
-def every_nth(rows: DataFrame, n: int = 100, by=S.TRIAL, axis: str = "time", tie: str = "seq",
+def every_nth(rows: DataFrame, n: int = 100, by=None, axis: str = "time", tie: str = "seq",
               width: int = DEFAULT_CHUNK) -> DataFrame:
     """Rows 0, n, 2n, ... of each series."""
-    return (scan(rows, by, axis, [tie], {"_n": sum_before(F.lit(1))}, width=width)
+    return (scan(rows, S.trial_of(rows) if by is None else by, axis, [tie], {"_n": sum_before(F.lit(1))}, width=width)
             .where(F.col("_n") % n == 0).drop("_n"))
 
 

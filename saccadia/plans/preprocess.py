@@ -77,7 +77,7 @@ def preprocess_events(events: DataFrame, experiment: str, tie: str = "seq", widt
     items |= segment_number() if blink_mode == "scan" else {}
     items |= {f"_n_{n}": total(F.sum, F.col(f"_r_{n}")) for n in rules}
 
-    df = scan(df, S.TRIAL, "time", [tie], items, width=width)
+    df = scan(df, S.trial_of(df), "time", [tie], items, width=width)
     for n, (_, low, high) in rules.items():
         df = df.where(clean.rule_holds(F.col(f"_n_{n}"), low, high))
     if recipe.has_stimulus:
@@ -101,7 +101,7 @@ def _settle_onset(df: DataFrame, recipe: Recipe, tie: str, width: int) -> DataFr
         items |= {"_f_side": last(F.col("side")), "_b_side": following(F.col("side"))}
     if recipe.move_onset:
         items |= fills.onset_items(F.col("time"), F.col("time_elapsed"))
-    df = scan(df, S.TRIAL, "time", [tie], items, width=width)
+    df = scan(df, S.trial_of(df), "time", [tie], items, width=width)
     if recipe.fill_side:
         df = df.withColumn("side", F.coalesce("_f_side", "_b_side"))
     if recipe.move_onset:

@@ -33,6 +33,13 @@ SAMPLE_RATE = 2000
 
 TRIAL = ["participant_id", "trial_id"]
 
+
+def trial_of(df) -> list[str]:
+    """Key of a trial: trial ids are counted anew in every experiment, so a frame that names the experiment needs it too."""
+    return ["experiment", *TRIAL] if "experiment" in df.columns else list(TRIAL)
+
+
+# Columns of events and samples with their types.
 EVENT_TYPES = {
     "experiment": "string", "participant_id": "bigint", "trial_id": "bigint", "time": "bigint",
     "event": "string", "eye": "string", "colour": "string",
@@ -47,7 +54,7 @@ EVENT_TYPES = {
     "marks": "bigint", "shape": "string",
 }
 
-# Columns that a recording announces itself with its TRIAL_VAR_LABELS line.
+# Columns that a recording announces itself with its TRIAL_VAR_LABELS line.
 TRIAL_VARIABLES = ["side", "time_elapsed", "delay", "angle", "speed", "target_x", "target_y", "pos_x", "pos_y",
                    "distance", "target_width", "target_shape", "marks", "shape"]
 
@@ -71,6 +78,3 @@ SAMPLE_LAYOUTS = {
           "x_resolution", "y_resolution", ".", "error_message"],
 }
 
-
-def ddl(types: dict[str, str]) -> str:
-    return ", ".join(f"`{name}` {kind}" for name, kind in types.items())

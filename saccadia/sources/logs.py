@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from saccadia import schemas as S
@@ -56,7 +57,8 @@ def parse_events(lines: DataFrame, experiment: str, axis: str = "block", ties: S
                  chunk: Column | None = None) -> DataFrame:
     """Raw events from ordered log lines (recording, participant_id, line, order columns).
 
-    The trial id and the variable labels last seen in the recording hold until the next ones. ``seq`` numbers the lines.
+    The trial id and the variable labels last seen in the recording hold until the next ones. ``seq`` numbers the lines
+    of a participant, recording after recording, so that it stays unique where a participant has several.
     """
     tokens, event = F.split("line", r"\s+"), F.col("event")
     typed = lines.withColumn("event", line_event(F.col("line"))).withColumn("tok", tokens)
@@ -66,6 +68,13 @@ def parse_events(lines: DataFrame, experiment: str, axis: str = "block", ties: S
         "seq": sum_before(F.lit(1)),
     }
     rows = scan(typed, ["recording", "participant_id"], axis, ties, context, chunk=F.col(axis) if chunk is None else chunk)
+    # One row per recording: the lines of the recordings before it.
+    earlier = W.partitionBy("participant_id").orderBy("recording").rowsBetween(W.unboundedPreceding, -1)
+    sizes = (lines.groupBy("participant_id", "recording").agg(F.count("*").alias("_n"))
+             .select(F.col("participant_id").alias("_p"), F.col("recording").alias("_r"),
+                     F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+    same = F.col("participant_id").eqNullSafe(F.col("_p")) & (F.col("recording") == F.col("_r"))
+    rows = rows.join(sizes, same).withColumn("seq", F.col("seq") + F.col("_before"))
     rows = rows.where(event.isNotNull() & (event != "TRIAL_VAR_LABELS"))
 
     def token(i: int) -> Column:

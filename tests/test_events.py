@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from saccadia import schemas as S
 from saccadia.functions import scalars as C
-from saccadia.operators import blinks, clean, event_features, joins
+from saccadia.operators import blinks, clean, event_features, fills, joins
 from saccadia.plans.preprocess import preprocess_events
 
 
@@ -179,3 +179,19 @@ def test_preprocessing_after_cleaning_equals_the_fused_form(spark, sf):
     two = preprocess_events(clean.clean_events(raw, "SMOOTH_PURSUITS"), "SMOOTH_PURSUITS", width=inputs.CHUNK)
     columns = one.columns
     assert one.exceptAll(two.select(*columns)).count() == 0 and one.count() == two.count()
+
+
+def test_asof_without_a_time_matches_nothing(spark):
+    right = spark.createDataFrame([(1, 100, 1, "r")], "k long, time long, seq long, v string")
+    left = spark.createDataFrame([(1, None, 2), (1, 150, 3)], "k long, time long, seq long")
+    for direction in ("backward", "nearest"):
+        got = {r["seq"]: r["v"] for r in joins.asof(left, right, ["k"], ["v"], direction=direction).collect()}
+        assert got == {2: None, 3: "r"}
+
+
+def test_equal_trial_ids_of_two_experiments_stay_apart(spark):
+    rows = [(e, 1, 1, t, s, "FIXPOINT" if c else "START", c) for e, t, s, c in
+            (("SHAPES", 1, 1, "255 0 0"), ("SHAPES", 2, 2, None), ("REACTION", 1, 3, None), ("REACTION", 3, 4, "0 0 255"), ("REACTION", 9, 5, None))]
+    events = spark.createDataFrame(rows, "experiment string, participant_id long, trial_id long, time long, seq long, event string, colour string")
+    got = {r["seq"]: r["colour"] for r in fills.fill(events, ["colour"]).collect()}
+    assert got == {1: "255 0 0", 2: "255 0 0", 3: None, 4: "0 0 255", 5: "0 0 255"}

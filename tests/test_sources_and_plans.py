@@ -172,3 +172,12 @@ def test_registry_is_consistent(spark, sf):
     assert set(oracles) <= set(queries) and len(queries) > 100
     first = entry.entry(spark)
     assert first.columns[:2] == ["experiment", "participant_id"] and first.count() > 0
+
+
+def test_two_recordings_of_one_participant_have_one_numbering(spark, tmp_path):
+    for part, trial in ((1, 4), (2, 5)):
+        (tmp_path / f"Shapes_7_{part}.asc").write_text(
+            f"MSG {part}00 TRIALID {trial}\nSTART {part}01 LEFT\nEFIX L {part}02 {part}09 7 1.0 2.0 3.0\nEND {part}10\n")
+    events = logs.extract_events(spark, str(tmp_path), "SHAPES").collect()
+    assert len(events) == 8 and sorted(r["seq"] for r in events) == list(range(8))
+    assert [r["trial_id"] for r in sorted(events, key=lambda r: r["seq"])] == [4] * 4 + [5] * 4

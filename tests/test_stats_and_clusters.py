@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from saccadia.operators import cluster, matrix, stats
+from saccadia.operators import cluster, mixtures, matrix, stats
 from saccadia.plans import selection
 
 
@@ -239,3 +239,30 @@ def test_split_is_stable(spark):
     again = cluster.split_rows(df.repartition(7), "k", 0.2)[1]
     assert test.count() + train.count() == 2000 and 300 < test.count() < 500
     assert test.exceptAll(again).count() == 0
+
+
+def test_mixtures_of_a_search_share_their_passes(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate((rng.normal(0, 1, (120, 3)), rng.normal(6, 1, (80, 3))))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double").repartition(3)
+    points, models = mixtures.fit(df, ["a", "b", "c"], [(["a", "b"], 2), (["c"], 3), (["a", "b", "c"], 2)])
+    scores = mixtures.squared_silhouettes(points, models)
+    for m, (n, s) in zip(models, scores):
+        names = [["a", "b", "c"][i] for i in m.columns]
+        label = m.log_densities(x).argmax(1)
+        marked = spark.createDataFrame([(i, int(c), *map(float, r)) for i, (c, r) in enumerate(zip(label, x))], "id long, cluster int, a double, b double, c double")
+        assert n == len(set(label)) and s == pytest.approx(cluster.silhouette_squared(marked, names).first()[0])
+        assert m.weights.sum() == pytest.approx(1)
+    assert np.allclose(sorted(models[2].weights), [0.4, 0.6], atol=0.02)
+    assert np.allclose(sorted(models[2].means[:, 0]), [0, 6], atol=0.4)
+    points.unpersist()
+
+
+def test_search_over_mixtures_finds_the_groups(spark):
+    rng = np.random.default_rng(9)
+    group = np.arange(150) % 2
+    rows = [(i, float(rng.normal(9 * g)), float(rng.normal(9 * g)), float(rng.normal())) for i, g in enumerate(group)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, u double")
+    best = {r["n_clusters"]: r["features"] for r in cluster.brute_force(df, ["a", "b", "u"], low=2, high=4).collect()}
+    assert set(best[2]) == {"a", "b"}
+    assert cluster.tune(df, ["a", "b", "u"], low=2, high=3).first()["n_features"] >= 2

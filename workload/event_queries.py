@@ -73,7 +73,7 @@ CHECKS = """
 @register("trial_checks", query(ctes.cleaned("REACTION"), f"""
 select participant_id, trial_id,{CHECKS}, ({ctes.rules('REACTION')}) as is_valid from kept group by all"""))
 def trial_checks(spark, sf):
-    return clean.trial_checks(clean.keep_rows(raw(spark, sf, "REACTION"), "REACTION"), "REACTION")
+    return clean.trial_checks(clean.keep_rows(raw(spark, sf, "REACTION"), "REACTION"), "REACTION").drop("experiment")
 
 
 def _register_clean(experiment: str):
@@ -91,7 +91,7 @@ select distinct participant_id, trial_id from gaze where (participant_id, trial_
  select participant_id, trial_id from clean)"""))
 def removed_trials(spark, sf):
     events = raw(spark, sf, "EVIL_BASTARD")
-    return clean.removed_trials(events, clean.clean_events(events, "EVIL_BASTARD"))
+    return clean.removed_trials(events, clean.clean_events(events, "EVIL_BASTARD")).drop("experiment")
 
 
 # --- fills, clocks, stimulus state -----------------------------------------------------------------------------------
@@ -331,7 +331,7 @@ select participant_id, row_number() over (partition by participant_id order by t
  max(case when event = 'START' then time end) as start_time, max(case when event = 'END' then time end) as end_time
  from gaze where event in ('START', 'END') group by participant_id, gaze.trial_id"""))
 def trial_intervals(spark, sf):
-    return joins.trial_intervals(raw(spark, sf), "ordinal")
+    return joins.trial_intervals(raw(spark, sf), "ordinal").drop("experiment")
 
 
 @register("assign_trials", query(ctes.GAZE + """,

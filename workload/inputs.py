@@ -179,8 +179,7 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("pain"))
 
 
-def vectors(spark: SparkSession, sf_dir: str, dims: int | None = None) -> DataFrame:
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as (vec_id, label, f0, f1, ...)."""
     emb = table(spark, sf_dir, "embeddings")
-    n = 64 if dims is None else dims
-    return emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(n)])
+    return emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])

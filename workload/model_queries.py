@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saccadia.operators import cluster
+from saccadia import schemas as S
+from saccadia.operators import cluster, matrix
 from saccadia.plans import selection
 from workload import inputs
 from workload.event_queries import rounded_doubles
@@ -26,12 +27,17 @@ def register(name: str, sql: str | None = None):
 
 
 ALL = [f"f{i}" for i in range(64)]
-SIX = ALL[:6]
-SMALL_GRID = {"maxDepth": [3, 5], "numTrees": [20], "featureSubsetStrategy": ["sqrt"]}
+#: Features of the matrix that a selection kept, for the comparison before and after.
+SELECTED = ["click_mean", "view_mean", "value_mean", "n_events"]
 
 
-def points(spark, sf, dims: int | None = None) -> DataFrame:
-    return inputs.vectors(spark, sf, dims)
+def points(spark, sf) -> DataFrame:
+    return inputs.vectors(spark, sf)
+
+
+def people(spark, sf) -> DataFrame:
+    """Rows of the feature matrix without missing values, standardised."""
+    return cluster.standardise(matrix.drop_incomplete_rows(inputs.user_features(spark, sf), FEATURES), FEATURES)
 
 
 EMB = """
@@ -39,12 +45,13 @@ p as (select vec_id, label, cast(embedding as double[]) as v from embeddings)"""
 
 
 @register("standardise", f"""
-with p as (select vec_id, label % 2 as y, {', '.join(f'cast(embedding[{i + 1}] as double) as f{i}' for i in range(6))}
- from embeddings)
-select vec_id, {', '.join(f"round((f{i} - avg(f{i}) filter (where y = 1) over ()) / stddev_pop(f{i}) filter (where y = 1) over (), 6) + 0.0::double as f{i}" for i in range(6))} from p""")
+with p as (select vec_id, label % 2 as y, {', '.join(f'cast(embedding[{i + 1}] as double) as f{i}' for i in range(64))}
+ from embeddings),
+m as (select {', '.join(f'avg(f{i}) as m{i}, stddev_pop(f{i}) as s{i}' for i in range(64))} from p where y = 1)
+select vec_id, {', '.join(f"round((f{i} - m{i}) / s{i}, 6) + 0.0::double as f{i}" for i in range(64))} from p, m""")
 def standardise(spark, sf):
-    rows = points(spark, sf, 6)
-    return rounded_doubles(cluster.standardise(rows, SIX, rows.where("label % 2 = 1")).select("vec_id", *SIX))
+    rows = points(spark, sf)
+    return rounded_doubles(cluster.standardise(rows, ALL, rows.where("label % 2 = 1")).select("vec_id", *ALL))
 
 
 @register("silhouette_exact", query(EMB + """,
@@ -101,7 +108,7 @@ def davies_bouldin(spark, sf):
 with n as (select label, vec_id % 2 as y, count(*) as n from embeddings group by all)
 select round(sum(best) / (select sum(n) from n), 6) as purity from (select max(n) as best from n group by label) b""")
 def purity(spark, sf):
-    rows = points(spark, sf, 1).withColumn("y", F.col("vec_id") % 2)
+    rows = inputs.table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 2).alias("y"))
     return rounded_doubles(cluster.purity(rows, "label", "y"))
 
 
@@ -110,7 +117,7 @@ with r as (select vec_id, label % 2 as y, row_number() over (partition by label
  count(*) over (partition by label % 2) as n from embeddings)
 select vec_id, y, cast(floor(i * 5 / n) as int) as fold from r""")
 def stratified_folds(spark, sf):
-    rows = points(spark, sf, 1).select("vec_id", (F.col("label") % 2).alias("y"))
+    rows = inputs.table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 2).alias("y"))
     return cluster.stratified_folds(rows, 5, "y", "vec_id").select("vec_id", "y", "fold")
 
 
@@ -147,13 +154,15 @@ def appearances(spark, sf):
 
 
 @register("best_per_k", """
-with s as (select label as n_clusters, vec_id, round(embedding[1], 1) as silhouette from embeddings)
-select n_clusters, vec_id, cast(silhouette as double) as silhouette from s join (
+with s as (select label as n_clusters, vec_id, round(list_sum(list_transform(embedding, lambda x: cast(x as double))), 3) as silhouette
+ from embeddings)
+select n_clusters, vec_id, silhouette from s join (
  select n_clusters, max(silhouette) as silhouette from s group by all) b using (n_clusters, silhouette)""")
 def best_per_k(spark, sf):
-    score = F.round(F.col("embedding")[0], 1)
-    rows = inputs.table(spark, sf, "embeddings").select(F.col("label").alias("n_clusters"), "vec_id", score.alias("silhouette"))
-    return rounded_doubles(cluster.best_per_k(rows).withColumn("silhouette", F.col("silhouette").cast("double")))
+    """The sum of a vector stands for the score of a model, its label for the number of clusters."""
+    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    rows = inputs.table(spark, sf, "embeddings").select(F.col("label").alias("n_clusters"), "vec_id", F.round(total, 3).alias("silhouette"))
+    return rounded_doubles(cluster.best_per_k(rows))
 
 
 # --- models (rows only) ----------------------------------------------------------------------------------------------
@@ -172,64 +181,67 @@ def pca_share(spark, sf):
 
 @register("lda_axis")
 def lda_axis(spark, sf):
-    rows = points(spark, sf, 6).withColumn("y", F.col("label") % 2)
-    return cluster.discriminant_axis(rows, SIX)[0].select("vec_id", "y", "lda")
+    rows = points(spark, sf).withColumn("y", F.col("label") % 2)
+    return cluster.discriminant_axis(rows, ALL)[0].select("vec_id", "y", "lda")
 
 
 @register("gmm_sweep")
 def gmm_sweep(spark, sf):
-    return cluster.cluster_range(points(spark, sf, 6), SIX, "vec_id", low=2, high=10)[0]
+    return cluster.cluster_range(people(spark, sf), FEATURES, "participant_id")[0]
 
 
 @register("brute_pairs")
 def brute_pairs(spark, sf):
-    return cluster.brute_force(points(spark, sf, 3), ALL[:3], "vec_id", low=2, high=4)
+    return cluster.brute_force(people(spark, sf), FEATURES, "participant_id")
 
 
 @register("forward_features")
 def forward_features(spark, sf):
-    return cluster.tune(points(spark, sf, 4), ALL[:4], "vec_id", cluster.k_means, low=2, high=3, patience=1)
+    return cluster.tune(people(spark, sf), FEATURES, "participant_id", patience=1)
 
 
-@register("control_overlay")
+@register("control_overlay", """
+select y, count(*) as n, count(*) filter (where y = 0) as n_controls from (select user_id % 2 as y, user_id,
+ count(*) filter (where event_type = 'click') as c, count(*) filter (where event_type = 'view') as v,
+ count(*) filter (where event_type = 'error') as e from events group by all) where c > 0 and v > 1 and e > 0 group by y""")
 def control_overlay(spark, sf):
-    rows = points(spark, sf, 6)
-    _, patients = cluster.fit_clusters(rows.where("label % 2 = 1"), SIX, 3)
-    return cluster.control_overlay(patients, rows.where("label % 2 = 0"))
+    rows = people(spark, sf)
+    _, patients = cluster.fit_clusters(rows.where("y = 1"), FEATURES, 3)
+    shown = cluster.control_overlay(patients, rows.where("y = 0"))
+    return shown.groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("cluster") == -1).alias("n_controls"))
 
 
 @register("fold_validation")
 def fold_validation(spark, sf):
-    rows = points(spark, sf, 6).withColumn("y", F.col("label") % 2)
-    return cluster.fold_validation(rows, SIX, "y", "vec_id", n_splits=2, low=4, high=6)
+    return cluster.fold_validation(people(spark, sf), FEATURES, "y", "participant_id")
 
 
 @register("recluster")
 def recluster(spark, sf):
-    return selection.recluster(points(spark, sf, 6), SIX, SIX[:3], 3, "vec_id")[0]
+    return selection.recluster(people(spark, sf), FEATURES, SELECTED, 3, "participant_id")[0]
 
 
 @register("explain_clusters")
 def explain_clusters(spark, sf):
-    rows = points(spark, sf, 6)
-    _, labels = cluster.cluster_range(rows, SIX, "vec_id", cluster.k_means, 2, 4)
-    return selection.explain_clusters(rows.drop("label"), SIX, labels, "vec_id", grid=SMALL_GRID, folds=3)[0]
+    rows = people(spark, sf)
+    _, labels = cluster.cluster_range(rows, FEATURES, "participant_id", cluster.k_means)
+    return selection.explain_clusters(rows, FEATURES, labels, "participant_id")[0]
 
 
 @register("rf_importance")
 def rf_importance(spark, sf):
-    return selection.forest_importance(inputs.user_features(spark, sf), FEATURES, False, grid=SMALL_GRID, folds=3)[0]
+    return selection.forest_importance(inputs.user_features(spark, sf), FEATURES, False)[0]
 
 
 @register("selected_features")
 def selected_features(spark, sf):
+    """The features of the matrix are dealt to the eight experiments by name."""
     rows = inputs.user_features(spark, sf)
-    names = {f: f"SHAPES_{f}" if i % 2 else f"REACTION_{f}" for i, f in enumerate(FEATURES)}
-    rows = rows.select("participant_id", "y", *[F.col(f).alias(n) for f, n in names.items()])
-    return selection.select_features(rows, experiments=["SHAPES", "REACTION"], grid=SMALL_GRID, folds=3)
+    names = {f: f"{S.EXPERIMENTS[i % len(S.EXPERIMENTS)]}_{f}" for i, f in enumerate(FEATURES)}
+    return selection.select_features(rows.select("participant_id", "y", *[F.col(f).alias(n) for f, n in names.items()]))
 
 
 @register("train_rf")
 def train_rf(spark, sf):
-    accuracy, best = selection.train_forest(inputs.user_features(spark, sf), FEATURES, grid=SMALL_GRID, folds=3)
+    accuracy, best = selection.train_forest(inputs.user_features(spark, sf), FEATURES)
     return spark.createDataFrame([(accuracy, str(best))], "accuracy double, settings string")

@@ -181,16 +181,20 @@ tested as (select feature, count(*) filter (where y = 0) as n0, count(*) filter
  sum(r) filter (where y = 0) as r0, avg(value) filter (where y = 0) as m0, avg(value) filter (where y = 1) as m1,
  stddev_pop(value) filter (where y = 0) as s0, stddev_pop(value) filter (where y = 1) as s1 from ranked group by feature),
 u as (select *, r0 - n0 * (n0 + 1) / 2 as uv from tested join ties using (feature))"""
-MANN = """
+#: Two-sided normal tail of z, by the series of the error function.
+TAIL = """case when z is null then null when z <= 0 then 1.0 else 1 - 2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(0, 400), lambda i:
+ exp(i * ln(2.0) + (2 * i + 1) * ln(z / sqrt(2.0)) - (lgamma(2.0 * i + 2) - i * ln(2.0) - lgamma(i + 1.0))))) end"""
+MANN = f"""
+select *, round({TAIL}, 6) + 0.0::double as p_value from ("""+"""
 select feature, round(uv, 6) as U_value, n0 as n_control, n1 as n_patient,
  round((greatest(uv, n0 * n1 - uv) - n0 * n1 / 2 - 0.5) / nullif(sqrt(n0 * n1 / 12 * (n0 + n1 + 1 - tie / ((n0 + n1)
   * (n0 + n1 - 1)))), 0), 6) as z, round(m0, 6) as mean_control, round(m1, 6) as mean_patient, round(s0, 6) as std_control,
- round(s1, 6) as std_patient from u"""
+ round(s1, 6) as std_patient from u) t"""
 
 
 @register("mann_whitney", query(ctes.USER_FEATURES + RANKED.format(source="lf"), MANN))
 def mann_whitney(spark, sf):
-    return rounded_doubles(stats.mann_whitney(long(spark, sf)).drop("p_value"))
+    return rounded_doubles(stats.mann_whitney(long(spark, sf)))
 
 
 DOC_TESTS = """
@@ -209,17 +213,20 @@ def doc_features(spark, sf) -> DataFrame:
 
 @register("mann_whitney_documents", query(DOC_TESTS + RANKED.format(source="docs"), MANN))
 def mann_whitney_documents(spark, sf):
-    return rounded_doubles(stats.mann_whitney(matrix.long_view(doc_features(spark, sf))).drop("p_value"))
+    return rounded_doubles(stats.mann_whitney(matrix.long_view(doc_features(spark, sf))))
 
 
 @register("t_test", query(ctes.USER_FEATURES + """,
 g as (select feature, count(*) filter (where y = 0) as n0, count(*) filter (where y = 1) as n1,
  avg(value) filter (where y = 0) as m0, avg(value) filter (where y = 1) as m1,
  var_samp(value) filter (where y = 0) as v0, var_samp(value) filter (where y = 1) as v1 from lf group by feature)""", """
-select feature, round((m0 - m1) / nullif(sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1 / n0 + 1 / n1)), 0), 6)
- as t_value, n0 + n1 - 2 as df from g"""))
+select feature, round(t, 6) as t_value, df, round(case when t = 0 then 1.0 else 1 - exp(0.5 * ln(x) + df / 2 * ln(1 - x) - ln(0.5)
+  - lgamma(0.5) - lgamma(df / 2) + lgamma(0.5 + df / 2)) * list_sum(list_transform(range(0, 3000), lambda i: exp(lgamma(0.5 + df / 2 + i)
+  - lgamma(0.5 + df / 2) + lgamma(1.5) - lgamma(1.5 + i) + i * ln(x)))) end, 6) + 0.0::double as p_value
+ from (select *, t * t / (df + t * t) as x from (select feature, n0 + n1 - 2 as df,
+ (m0 - m1) / nullif(sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1 / n0 + 1 / n1)), 0) as t from g) a) b"""))
 def t_test(spark, sf):
-    return rounded_doubles(stats.t_test(long(spark, sf)).drop("p_value"))
+    return rounded_doubles(stats.t_test(long(spark, sf)))
 
 
 @register("bh_adjust", """

@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 from saccadia.operators import mixtures
 from saccadia.operators.scan import scan, sum_before
 from saccadia.operators.stats import co_moments, value_chunks
+from saccadia.session import stage
 
 TILE_ROWS = 2048
+#: Pairs of points measured directly at a time.
+PAIRS_AT_ONCE = 1 << 15
 
 # --- scaling and projection ------------------------------------------------------------------------------------------
 
@@ -123,8 +126,10 @@ def silhouette_points(points: DataFrame, features: Sequence[str], key: str = "id
                 square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
                 near = square < 1e-6 * ((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :])
                 distances = np.sqrt(np.maximum(square, 0))
-                for i, j in zip(*np.nonzero(near)):  # cancellation: measure close pairs directly
-                    distances[i, j] = np.sqrt(((a[i] - b[j]) ** 2).sum())
+                i, j = np.nonzero(near)  # cancellation: measure close pairs directly
+                for at in range(0, len(i), PAIRS_AT_ONCE):
+                    p, q = i[at:at + PAIRS_AT_ONCE], j[at:at + PAIRS_AT_ONCE]
+                    distances[p, q] = np.sqrt(((a[p] - b[q]) ** 2).sum(1))
                 other = np.asarray(other)
                 for c in np.unique(other):
                     inside = other == c
@@ -197,11 +202,11 @@ def core_distances(points: DataFrame, features: Sequence[str], k: int, key: str
         for batch in batches:
             for ids, values, others in zip(batch["ids"], batch["values"], batch["other_values"]):
                 a, b = np.asarray(values).reshape(-1, width), np.asarray(others).reshape(-1, width)
-                found = []
-                for row in a:
-                    off = np.abs(b - row)
-                    d = off.sum(1) if metric == "manhattan" else np.sqrt((off * off).sum(1))
-                    found.append(np.sort(d)[:k] if len(d) <= k else np.sort(np.partition(d, k - 1)[:k]))
+                found, rows = [], max(1, PAIRS_AT_ONCE // max(len(b), 1))
+                for at in range(0, len(a), rows):
+                    off = np.abs(a[at:at + rows, None] - b[None])
+                    d = off.sum(2) if metric == "manhattan" else np.sqrt((off * off).sum(2))
+                    found += list(np.sort(np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d, axis=1))
                 yield pd.DataFrame({"id": ids, "d": found})
 
     kind = dict(points.dtypes)[key]
@@ -277,7 +282,7 @@ def cluster_range(df: DataFrame, features: Sequence[str], key: str = "id", facto
 
     ``score`` as in ``mean_silhouette``.
     """
-    base = df.persist()
+    base = stage(df, "points")
     with ThreadPool(parallelism) as pool:
         fitted = pool.map(lambda k: fit_clusters(base, features, k, factory)[1], range(low, high))
     scores, labels = [], []
@@ -286,7 +291,6 @@ def cluster_range(df: DataFrame, features: Sequence[str], key: str = "id", facto
             davies_bouldin(rows, features).withColumn("_j", F.lit(0)), "_j")
         scores.append(both.select(F.lit(k).alias("n_clusters"), "silhouette", "davies_bouldin"))
         labels.append(rows.select(key, F.lit(k).alias("n_clusters"), "cluster"))
-    base.unpersist()
     return _stack(scores), _stack(labels)
 
 
@@ -444,7 +448,7 @@ def fold_scores(train: DataFrame, test: DataFrame, features: Sequence[str], k: i
 def fold_validation(df: DataFrame, features: Sequence[str], y: str = "y", key: str = "id", n_splits: int = 2, low: int = 4,
                     high: int = 11, factory: Factory = gaussian_mixture, parallelism: int = 4) -> DataFrame:
     """Scores averaged over stratified folds per number of clusters, with balance (B - W) / (B + W)."""
-    folds = stratified_folds(df, n_splits, y, key).persist()
+    folds = stage(stratified_folds(df, n_splits, y, key), "folds")
 
     def scores(task: tuple[int, int]) -> DataFrame:
         k, i = task

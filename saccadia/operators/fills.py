@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from saccadia import schemas as S
 from saccadia.functions.scalars import clip
 from saccadia.operators.scan import (DEFAULT_CHUNK, attach, first_of_all, following, last, order_key, scan)
+from saccadia.operators.stats import value_chunks
 
 X_COLUMNS = ["stimulus_x", "pos_x", "x", "start_x", "end_x"]
 Y_COLUMNS = ["stimulus_y", "pos_y", "y", "start_y", "end_y"]
@@ -41,12 +42,15 @@ def _borrow_from_earlier_trial(filled: DataFrame, columns: list[str], by: list[s
     # One row per trial: the value its last row holds after the first pass of the fill.
     key = order_key(axis, [tie])
     ends = filled.groupBy(*by).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), key)).alias(c) for c in columns])
-    ends = ends.withColumn("_all", F.lit(0))
-    if how == "backward_forward":
-        items = {f"_e_{c}": last(F.col(c)) for c in columns}
-    else:
-        items = {f"_e_{c}": following(F.col(c)) for c in columns}
-    carried = scan(ends, ["_all"], by[0], by[1:], items, chunk=F.col(by[0])).select(*by, *items)
+    # Trials follow each other inside an experiment, in ranges of participants: a range is a task, and only one row per
+    # range meets the others.
+    person = by.index("participant_id") if "participant_id" in by else 0
+    outer, axis, ties = by[:person], by[person], by[person + 1:]
+    if not outer:
+        ends, outer = ends.withColumn("_all", F.lit(0)), ["_all"]
+    pick = last if how == "backward_forward" else following
+    items = {f"_e_{c}": pick(F.col(c)) for c in columns}
+    carried = scan(value_chunks(ends, outer, axis), outer, axis, ties, items, chunk=F.col("_part")).select(*by, *items)
     out = filled.join(carried, by, "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_e_{c}")) for c in columns}).drop(*items)
 

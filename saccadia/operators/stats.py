@@ -16,10 +16,19 @@ from saccadia.operators.matrix import long_view
 from saccadia.operators.scan import scan, sum_before
 
 
-def value_chunks(df: DataFrame, by: Sequence[str], value: str, parts: int = 64) -> DataFrame:
-    """Add ``_part``: which of about ``parts`` equally filled value ranges of its group a row falls in."""
+#: Rows of a value range, about, and the number of ranges that is always made.
+RANGE_ROWS, LEAST_RANGES = 1_000_000, 64
+
+
+def value_chunks(df: DataFrame, by: Sequence[str], value: str, parts: int | None = None) -> DataFrame:
+    """Add ``_part``: which of about ``parts`` equally filled value ranges of its group a row falls in.
+
+    Without ``parts`` the rows are counted, so that a range stays within RANGE_ROWS whatever the size of its group.
+    """
     by = list(by)
-    cuts = df.groupBy(*by).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
+    if parts is None:
+        parts = max(LEAST_RANGES, -(-df.count() // RANGE_ROWS))
+    cuts = df.groupBy(*by).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], max(1000, 10 * parts)).alias("_cuts"))
     at = F.col(value)
     return df.join(cuts, by).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < at)).cast("bigint")).drop("_cuts")
 
@@ -205,7 +214,7 @@ def _two_sided_t(t: Column, freedom: Column) -> Column:
     return tail(t, freedom)
 
 
-def mann_whitney(long: DataFrame, parts: int = 64) -> DataFrame:
+def mann_whitney(long: DataFrame, parts: int | None = None) -> DataFrame:
     """U of the controls (y = 0) against the patients (y = 1) per feature, with group means and population stds.
 
     Two-sided p by the normal approximation with tie and continuity correction. Equal values are counted first; the

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,18 +43,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if named:
         sc.setCheckpointDir(named)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="saccadia-checkpoint-"))
+        scratch = tempfile.mkdtemp(prefix="saccadia-checkpoint-")
+        atexit.register(shutil.rmtree, scratch, ignore_errors=True)
+        sc.setCheckpointDir(scratch)
     else:
         raise ValueError("spark.checkpoint.dir must name a folder that every executor can reach")
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder so that later uses read it back after executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back, columns pruned per use."""
     spark = df.sparkSession

@@ -204,10 +204,10 @@ docs as (select d.doc_id as participant_id, l.quality as y, 'n_chars' as feature
   from documents d join labels l using (doc_id) where l.quality is not null)"""
 
 
-def doc_features(spark, sf) -> DataFrame:
+def doc_features(spark, sf, label: str = "quality") -> DataFrame:
     docs = inputs.table(spark, sf, "documents").select(
         "doc_id", F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split("text", " ")).cast("double").alias("n_words"))
-    labels = inputs.table(spark, sf, "labels").where("quality is not null").select("doc_id", F.col("quality").alias("y"))
+    labels = inputs.table(spark, sf, "labels").where(f"{label} is not null").select("doc_id", F.col(label).alias("y"))
     return docs.join(labels, "doc_id").withColumnRenamed("doc_id", "participant_id")
 
 
@@ -230,19 +230,27 @@ def t_test(spark, sf):
 
 
 @register("bh_adjust", """
-with p as (select user_id as feature, avg(value) / 100 as p_value from events group by user_id),
+with p as (select event_type || strftime(ts, '%Y-%m-%d') as feature, avg(value) / 100 as p_value from events group by all),
 r as (select *, count(*) over () as m, row_number() over (order by p_value, feature) as i from p),
 a as (select feature, p_value, least(1.0, min(p_value * m / i) over (order by i desc)) as q from r)
 select feature, round(p_value, 6) as p_value, round(q, 6) as p_value_corrected, q <= 0.25 as is_significant from a""")
 def bh_adjust(spark, sf):
-    tests = (inputs.table(spark, sf, "events").groupBy(F.col("user_id").alias("feature"))
+    """A mean per event type and day stands for the p-value of a feature."""
+    feature = F.concat("event_type", F.date_format("ts", "yyyy-MM-dd")).alias("feature")
+    tests = (inputs.table(spark, sf, "events").groupBy(feature)
              .agg((F.avg("value") / 100).alias("p_value")))
     return rounded_doubles(stats.benjamini_hochberg(tests, 0.25))
 
 
-@register("significant_features")
+@register("significant_features", query(DOC_TESTS.replace("l.quality", "l.toxic") + RANKED.format(source="docs"), f"""
+select feature, round(p_value, 6) as p_value, round(q, 6) as p_value_corrected from (
+ select *, least(1.0, min(p_value * m / i) over (order by i desc)) as q from (
+ select *, count(*) over () as m, row_number() over (order by p_value, feature) as i from ({MANN.replace("round(" + TAIL + ", 6)", TAIL)}) a) b) c
+ where q <= 0.9"""))
 def significant_features(spark, sf):
-    return stats.significant_features(long(spark, sf))
+    """Features of the documents by their label; the level lets some through at every size."""
+    found = stats.significant_features(matrix.long_view(doc_features(spark, sf, "toxic")), 0.9)
+    return rounded_doubles(found.select("feature", "p_value", "p_value_corrected"))
 
 
 # --- survey ----------------------------------------------------------------------------------------------------------
@@ -293,4 +301,4 @@ def drop_sparse_rows(spark, sf):
  cast(contains(pain, '''5''') as int) as "pain:5" from survey"""))
 def multi_hot(spark, sf):
     rows = inputs.survey(spark, sf).select("id", "seq", "pain")
-    return survey.multi_hot(rows, "pain", "pain:", drop=["6"])
+    return survey.multi_hot(rows, "pain", "pain:", codes=list("012345"))

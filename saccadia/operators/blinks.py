@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from saccadia import schemas as S
@@ -17,7 +18,8 @@ def segment_number() -> dict:
 def drop_blinked_spans(numbered: DataFrame, axis: str, tie: str) -> DataFrame:
     """Drop rows from the first SSACC to the ESACC of a segment that has SBLINK and EBLINK in between.
 
-    Needs the column of ``segment_number``. Spans with a blink are few, so the anti join side is small.
+    Needs the column of ``segment_number``. A segment is the rows between two saccades, so it is a window of its own and the
+    scanned rows are read once.
     """
     event, key = F.col("event"), order_key(axis, [tie])
     by = [*S.trial_of(numbered), "_segment"]
@@ -25,16 +27,14 @@ def drop_blinked_spans(numbered: DataFrame, axis: str, tie: str) -> DataFrame:
     def keys_of(name: str):
         return F.when(event == name, key)
 
-    spans = (numbered.where(event.isin("SSACC", "ESACC", "SBLINK", "EBLINK"))
-             .groupBy(*by)
-             .agg(F.max(event == "ESACC").alias("closed"), F.min(keys_of("SSACC")).alias("_from"),
-                  F.max(keys_of("SBLINK")).alias("s"), F.max(keys_of("EBLINK")).alias("e"))
-             .where(F.col("closed") & (F.col("s") > F.col("_from")) & (F.col("e") > F.col("_from")))
-             .select(*[F.col(c).alias(f"_k_{c}") for c in by], "_from"))
-    inside = key >= F.col("_from")
+    inside = W.partitionBy(*by)
+    marked = numbered.withColumns({
+        "_closed": F.max(event == "ESACC").over(inside), "_from": F.min(keys_of("SSACC")).over(inside),
+        "_s": F.max(keys_of("SBLINK")).over(inside), "_e": F.max(keys_of("EBLINK")).over(inside)})
+    blinked = F.col("_closed") & (F.col("_s") > F.col("_from")) & (F.col("_e") > F.col("_from")) & (key >= F.col("_from"))
     for c in by:
-        inside = inside & (F.col(c) == F.col(f"_k_{c}"))
-    return numbered.join(spans, inside, "left_anti").drop("_segment")
+        blinked = blinked & F.col(c).isNotNull()
+    return marked.where(~F.coalesce(blinked, F.lit(False))).drop("_closed", "_from", "_s", "_e", "_segment")
 
 
 def drop_blink_saccades(events: DataFrame, axis: str = "time", tie: str = "seq", mode: str = "scan",

@@ -124,15 +124,17 @@ def scan(df: DataFrame, by: Sequence[str], axis: str, ties: Sequence[str], items
          chunk: Column | None = None, width: int = DEFAULT_CHUNK) -> DataFrame:
     """Add one column per item to ``df``; rows of a series are ordered by ``axis`` (nulls last), then ``ties``.
 
-    ``chunk`` must not decrease along that order. The chunk table is aggregated from the shuffled rows when it needs
-    their order, so both sides can share one shuffle; plain sums and extremes are pre-aggregated before the shuffle.
+    ``chunk`` must not decrease along that order. The chunk table is aggregated from the shuffled rows, so both sides
+    share one shuffle.
     """
     by, ties = list(by), list(ties)
     key = order_key(axis, ties)
     chunked = df.withColumn("_chunk", time_chunk(axis, width) if chunk is None else chunk)
     spread = chunked.repartition(*by, "_chunk")
-    source = spread if any(i.by_order for i in items.values()) else chunked
-    carries = source.groupBy(*by, "_chunk").agg(*[i.partial(key).alias(f"_p_{n}") for n, i in items.items()])
+    # Any row of a chunk, all columns: both sides then need the same columns, and the rows are read and shuffled once.
+    whole_row = F.any_value(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("_row")
+    carries = (spread.groupBy(*by, "_chunk").agg(whole_row, *[i.partial(key).alias(f"_p_{n}") for n, i in items.items()])
+               .where(F.col("_row").isNotNull()))
     over_chunks = _Frames(by, [F.col("_chunk").asc()], [F.col("_chunk").desc()])
     carries = carries.select(
         *[F.col(b).alias(f"_k_{b}") for b in by], F.col("_chunk").alias("_k_chunk"),

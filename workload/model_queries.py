@@ -29,6 +29,8 @@ def register(name: str, sql: str | None = None):
 ALL = [f"f{i}" for i in range(64)]
 #: Features of the matrix that a selection kept, for the comparison before and after.
 SELECTED = ["click_mean", "view_mean", "value_mean", "n_events"]
+#: Forest settings of the queries that search once per experiment or per number of clusters; ``rf_importance`` uses them all.
+COARSE = {"maxDepth": [3, 7, 11], "numTrees": [50], "featureSubsetStrategy": ["sqrt"]}
 
 
 def points(spark, sf) -> DataFrame:
@@ -225,7 +227,7 @@ def recluster(spark, sf):
 def explain_clusters(spark, sf):
     rows = people(spark, sf)
     _, labels = cluster.cluster_range(rows, FEATURES, "participant_id", cluster.k_means)
-    return selection.explain_clusters(rows, FEATURES, labels, "participant_id")[0]
+    return selection.explain_clusters(rows, FEATURES, labels, "participant_id", grid=COARSE)[0]
 
 
 @register("rf_importance")
@@ -238,10 +240,10 @@ def selected_features(spark, sf):
     """The features of the matrix are dealt to the eight experiments by name."""
     rows = inputs.user_features(spark, sf)
     names = {f: f"{S.EXPERIMENTS[i % len(S.EXPERIMENTS)]}_{f}" for i, f in enumerate(FEATURES)}
-    return selection.select_features(rows.select("participant_id", "y", *[F.col(f).alias(n) for f, n in names.items()]))
+    return selection.select_features(rows.select("participant_id", "y", *[F.col(f).alias(n) for f, n in names.items()]), grid=COARSE)
 
 
 @register("train_rf")
 def train_rf(spark, sf):
-    accuracy, best = selection.train_forest(inputs.user_features(spark, sf), FEATURES)
+    accuracy, best = selection.train_forest(inputs.user_features(spark, sf), FEATURES, grid=COARSE)
     return spark.createDataFrame([(accuracy, str(best))], "accuracy double, settings string")

@@ -1,7 +1,8 @@
 """Event and sample preparation per experiment.
 
 Each pipeline collects what it needs from the ordered trial - fills, clock origin, stimulus state, validity counts and
-saccade segments - into one scan, so the events are shuffled once for all of them.
+saccade segments - into one scan. Its rows and its chunk table come from the same shuffle key; blink removal adds a window per
+segment and the change of the onset a second scan.
 """
 
 from __future__ import annotations

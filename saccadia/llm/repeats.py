@@ -462,11 +462,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     kinds, ranges = repeated_bytes(docs)
     columns = docs.columns
-    keyed = docs.withColumn("_text", text_or_empty()).withColumn("_k", F.xxhash64("_text")).withColumn(
-        "_tag", F.shiftrightunsigned(F.xxhash64(F.lit(1), "_text"), 40)).drop("_text")
-    copied = kinds.filter(F.col("copies") > 1).select(F.col("k").alias("_k"), F.col("tag").alias("_tag"), F.lit(True).alias("_copied"))
-    spans = ranges.select(F.col("k").alias("_k"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"))
-    joined = keyed.join(copied, ["_k", "_tag"], "left").join(spans, ["_k", "_tag"], "left").select(*columns, "_copied", "_spans")
+    keyed = docs.withColumn("__repeats_text", text_or_empty()).withColumn("__repeats_k", F.xxhash64("__repeats_text")).withColumn(
+        "__repeats_tag", F.shiftrightunsigned(F.xxhash64(F.lit(1), "__repeats_text"), 40)).drop("__repeats_text")
+    copied = kinds.filter(F.col("copies") > 1).select(F.col("k").alias("__repeats_k"), F.col("tag").alias("__repeats_tag"), F.lit(True).alias("__repeats_copied"))
+    spans = ranges.select(F.col("k").alias("__repeats_k"), F.col("tag").alias("__repeats_tag"), F.col("spans").alias("__repeats_spans"))
+    joined = keyed.join(copied, ["__repeats_k", "__repeats_tag"], "left").join(spans, ["__repeats_k", "__repeats_tag"], "left").select(*columns, "__repeats_copied", "__repeats_spans")
     at, out = columns.index("text"), docs.schema
     count_at = columns.index("n_chars") if "n_chars" in columns else None
 
@@ -477,10 +477,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 if texts[i] is None:
                     continue
                 data = texts[i].encode("utf-8", "surrogatepass")
-                if batch.column("_copied")[i].as_py() and len(data) >= LENGTH:
+                if batch.column("__repeats_copied")[i].as_py() and len(data) >= LENGTH:
                     texts[i] = ""
-                elif batch.column("_spans")[i].is_valid:
-                    spans = batch.column("_spans")[i].values
+                elif batch.column("__repeats_spans")[i].is_valid:
+                    spans = batch.column("__repeats_spans")[i].values
                     lo, hi = _whole_characters(data, *merged(spans.field(0).to_numpy(), spans.field(1).to_numpy()))
                     texts[i] = _remaining(data, lo, hi).decode("utf-8", "surrogatepass")
                 else:

@@ -303,7 +303,7 @@ def similar_pairs(sets: list[np.ndarray], least: float) -> Iterator[tuple[int, i
     order = np.argsort(item, kind="stable")
     owners, first = owner[order], np.searchsorted(item[order], np.arange(item.max() + 2 if len(item) else 1))
     ends = np.cumsum(sizes)
-    above = list(range(len(sets)))
+    above, apart = list(range(len(sets))), len(sets) - 1
 
     def top(k: int) -> int:
         while above[k] != k:
@@ -321,6 +321,9 @@ def similar_pairs(sets: list[np.ndarray], least: float) -> Iterator[tuple[int, i
             if a != b:
                 above[max(a, b)] = min(a, b)
                 yield i, j
+                apart -= 1
+                if not apart:  # all are one component
+                    return
 
 
 def _exact(keys: list[str], least: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -9,7 +9,6 @@ one row per shard.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -18,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -28,13 +28,36 @@ from .common import ensure_checkpoint_dir, stage, text_or_empty
 MAGIC = b"TOKIDX01"
 #: magic, bytes per id, documents
 HEADER = "<8sQQ"
-#: Chunks of text remembered with their ids.
-REMEMBERED = 500_000
+#: Chunks of text that a generation of the memory holds.
+REMEMBERED = 600_000
 #: Characters that are cut into chunks at a time.
 CHARS_AT_ONCE = 1_500_000
 
-#: A space may only be cut off from what is before it if that is not white space.
-_RUNS = re.compile(r"\s |^ ")
+#: The letters that a chunk starts with, and what follows them.
+_HEAD = regex.compile(r"(\p{L}+)(\P{L}.*)", regex.S)
+
+
+class _Memory(dict):
+    """Ids by chunk in two generations: what a full one is asked for again moves on, the rest is forgotten."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict[str, bytes | None] = {}
+
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
+    def missing(self, chunks: set[str]) -> list[str]:
+        old = self.old
+        fresh = []
+        for c in chunks.difference(self):
+            if c in old:
+                self[c] = old[c]
+            else:
+                fresh.append(c)
+        return fresh
 
 
 class Encoder:
@@ -48,32 +71,68 @@ class Encoder:
         rule = str(self.tokenizer.pre_tokenizer)
         self.chunked = "ByteLevel(add_prefix_space=False" in rule and "use_regex=True" in rule and self.tokenizer.normalizer is None
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.bare, self.spaced = _Memory(), _Memory()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         dtype = f"<u{self.width}"
         return [np.array(e.ids, dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, table: dict[str, bytes], words: set[str], before: str) -> None:
-        fresh = [w for w in words if w not in table]
-        if len(table) + len(fresh) > REMEMBERED:
-            table.clear()
-            fresh = list(words)
-        table.update(zip(fresh, self._ids([before + w for w in fresh]), strict=True))
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words of letters behind a space, encoded as one text and cut apart again."""
+        if not words:
+            return []
+        found = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
+        ids, word = np.array(found.ids, f"<u{self.width}"), np.array(found.word_ids)
+        cuts = np.searchsorted(word, np.arange(len(words) + 1)).tolist()
+        raw, w = ids.tobytes(), self.width
+        return [raw[a * w:b * w] for a, b in zip(cuts, cuts[1:])]
+
+    def _lines(self, words: list[str]) -> list[bytes]:
+        """Words of letters without a space before them, encoded as the lines of one text."""
+        if not words:
+            return []
+        found = self.tokenizer.encode("\n".join(words), add_special_tokens=False)
+        ids, word = np.array(found.ids, f"<u{self.width}"), np.array(found.word_ids)
+        starts = np.searchsorted(word, 2 * np.arange(len(words))).tolist()
+        ends = np.searchsorted(word, 2 * np.arange(len(words)) + 1).tolist()
+        raw, w = ids.tobytes(), self.width
+        return [raw[a * w:b * w] for a, b in zip(starts, ends, strict=True)]
+
+    def _learn(self, memory: _Memory, chunks: set[str], before: str) -> None:
+        """Remember the ids of chunks; None for those that the space after them does not end."""
+        fresh = memory.missing(chunks)
+        open_ = {c for c in fresh if not c or c[-1].isspace()}
+        words = [c for c in fresh if c.isalpha()]
+        memory.update(zip(words, self._words(words) if before else self._lines(words), strict=True))
+        memory.update(dict.fromkeys(open_))
+        rest = [c for c in fresh if c not in open_ and not c.isalpha()]
+        parts = {c: m.groups() for c in rest if before and (m := _HEAD.fullmatch(c))}  # letters and the rest never merge
+        if parts:
+            self._learn(memory, {h for h, _ in parts.values()}, before)
+            self._learn(self.bare, {t for _, t in parts.values()}, "")
+            memory.update({c: memory[h] + self.bare[t] for c, (h, t) in parts.items() if self.bare[t] is not None})
+        rest = [c for c in rest if c not in memory]
+        memory.update(zip(rest, self._ids([before + c for c in rest]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes."""
         out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not self.chunked or _RUNS.search(t)]
+        if self.chunked:
+            self.bare.age()
+            self.spaced.age()
+            chunks = [t.split(" ") for t in texts]
+            firsts = [c.pop(0) for c in chunks]
+            self._learn(self.bare, set(firsts), "")
+            self._learn(self.spaced, set().union(*chunks), " ")
+            bare, spaced = self.bare, self.spaced
+            for i, (first, c) in enumerate(zip(firsts, chunks, strict=True)):
+                try:
+                    out[i] = (bare[first] if first else b"") + b"".join(map(spaced.__getitem__, c))
+                except TypeError:  # white space of more than one space somewhere
+                    pass
+        whole = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        words = {i: t.split(" ") for i, t in enumerate(texts) if out[i] is None}
-        self._learn(self.first, {w[0] for w in words.values()}, "")
-        self._learn(self.later, {x for w in words.values() for x in w[1:]}, " ")
-        later = self.later
-        for i, w in words.items():
-            out[i] = self.first[w[0]] + b"".join([later[x] for x in w[1:]])
         return out
 
 

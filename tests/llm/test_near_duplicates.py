@@ -156,3 +156,38 @@ def test_awkward_tables(spark):
 
 def test_registered(spark, sf):
     assert SPARK["op1_simhash_near_dedup"](spark, sf).columns[:3] == ["doc_id", "fingerprint", "component_id"]
+
+
+def awkward_pairs():
+    """Pairs of a similarity around 0.8, and texts of which one repeats a passage many times."""
+    rng, rows = np.random.default_rng(3), []
+    for g in range(60):
+        words = prose(500 + g, 60 + 5 * g).split()
+        other, n = list(words), len(set(zip(*(words[k:] for k in range(5)))))
+        for spot in rng.permutation(len(words)).tolist():
+            now = set(zip(*(other[k:] for k in range(5))))
+            mine = set(zip(*(words[k:] for k in range(5))))
+            if len(mine & now) / len(mine | now) < 0.84:
+                break
+            other[spot] = f"new{g}x{spot}"
+        cut = int(rng.integers(0, 8))
+        rows += [" ".join(words), " ".join(other[:len(other) - cut]), " ".join(words[:n // 2] + words[:12] * (5 + g) + words[n // 2:])]
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("radius,common,bucket", [(18, 8, 4096), (1, 8, 4096), (1, 1, 20)])
+def test_every_pair_of_the_similarity_is_found(spark, monkeypatch, radius, common, bucket):
+    monkeypatch.setattr(near_dup, "SIMILAR_RADIUS", radius)
+    monkeypatch.setattr(near_dup, "BUCKET", bucket)
+    if hasattr(near_dup, "HOT_LEAST"):
+        monkeypatch.setattr(near_dup, "HOT_LEAST", common)
+        monkeypatch.setattr(near_dup, "SAMPLED", 2)
+    line = " ".join(f"common{k}" for k in range(12))
+    rows = awkward_pairs() + [(1000 + k, line + " " + prose(900 + k, 30)) for k in range(40)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.similar_components(documents(spark, rows)).collect()}
+    sets, parent = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    for a, b in itertools.combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            parent[max(find(parent, a), find(parent, b))] = min(find(parent, a), find(parent, b))
+    assert got == {i: find(parent, i) for i in sets}
+    assert 40 < len(rows) - len(set(got.values()))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from saccadia.operators import cluster, mixtures, matrix, stats
 from saccadia.plans import selection
+from workload import inputs, model_queries
 
 
 def feature_frame(seed=0, n=80):
@@ -233,6 +234,30 @@ def test_forest_finds_the_signal(spark):
     assert accuracy > 0.8
 
 
+def test_registered_forests_search_the_whole_grid(spark, sf, monkeypatch):
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def search(df, features, y, key, grid=None, folds=5, **more):
+        asked.append((grid or selection.GRID, folds))
+        raise Asked
+
+    small = spark.createDataFrame([(i, i % 2, *[float(i * k % 7) for k in range(len(model_queries.FEATURES))]) for i in range(60)],
+                                  "participant_id long, y int, " + ", ".join(f"{f} double" for f in model_queries.FEATURES))
+    labels = small.selectExpr("participant_id", "2 as n_clusters", "y as cluster")
+    monkeypatch.setattr(inputs, "user_features", lambda *a: small)
+    monkeypatch.setattr(model_queries, "people", lambda *a: small)
+    monkeypatch.setattr(cluster, "cluster_range", lambda *a, **k: (None, labels))
+    monkeypatch.setattr(selection, "forest_search", search)
+    monkeypatch.setattr(selection, "reduce_features", lambda df, features, y: (df, list(features)))
+    for name in ("explain_clusters", "selected_features", "train_rf"):
+        with pytest.raises(Asked):
+            model_queries.SPARK[name](spark, sf)
+    assert asked == [(selection.GRID, 5), (selection.GRID, 5), (selection.TRAIN_GRID, 5)]
+
+
 def test_split_is_stable(spark):
     df = spark.range(2000).withColumnRenamed("id", "k")
     train, test = cluster.split_rows(df, "k", 0.2)

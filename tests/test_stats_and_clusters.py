@@ -258,6 +258,14 @@ def test_registered_forests_search_the_whole_grid(spark, sf, monkeypatch):
     assert asked == [(selection.GRID, 5), (selection.GRID, 5), (selection.TRAIN_GRID, 5)]
 
 
+def test_registered_growth_has_six_rounds(monkeypatch):
+    asked = []
+    monkeypatch.setattr(model_queries, "people", lambda *a: None)
+    monkeypatch.setattr(cluster, "tune", lambda *a, patience=0, **k: asked.append(patience))
+    model_queries.SPARK["forward_features"](None, None)
+    assert asked == [5]
+
+
 def test_split_is_stable(spark):
     df = spark.range(2000).withColumnRenamed("id", "k")
     train, test = cluster.split_rows(df, "k", 0.2)

@@ -197,7 +197,7 @@ def brute_pairs(spark, sf):
 
 @register("forward_features")
 def forward_features(spark, sf):
-    return cluster.tune(people(spark, sf), FEATURES, "participant_id", patience=1)
+    return cluster.tune(people(spark, sf), FEATURES, "participant_id", patience=5)
 
 
 @register("control_overlay", """

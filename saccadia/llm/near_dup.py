@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, stage, text_or_empty, whole_groups
@@ -308,7 +308,8 @@ def prefix_length(n: int, least: float) -> int:
 
 def sketches(docs: DataFrame, width: int, least: float, hot: np.ndarray) -> DataFrame:
     """(doc_id, fp, whole, meets, size, prefix, cells): fingerprint, hash of all words, the MEETINGS smallest shingle hashes,
-    number of shingles, the first of them in the order of all texts (``hot`` ones last), and their counts in CELLS cells."""
+    number of shingles, the first of them in the order of all texts (``hot`` ones last), and their counts in CELLS cells;
+    ``said`` names the text where doc_id is NULL."""
     shared = docs.sparkSession.sparkContext.broadcast((np.sort(hot), np.argsort(hot, kind="stable") + 1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,11 +336,16 @@ def sketches(docs: DataFrame, width: int, least: float, hot: np.ndarray) -> Data
                 [batch.column(0), as_long(fps), as_long(wholes),
                  lists(np.array(meets, np.uint64).reshape(-1).view(np.int64), np.arange(len(fps) + 1) * MEETINGS), pa.array(sizes, pa.int32()),
                  lists(np.concatenate([np.empty(0, np.int64), *prefixes]), np.concatenate(([0], np.cumsum([len(p) for p in prefixes], dtype=np.int64)))),
-                 pa.array(cells, pa.binary())],
-                ["doc_id", "fp", "whole", "meets", "size", "prefix", "cells"])
+                 pa.array(cells, pa.binary()), batch.column(2)],
+                ["doc_id", "fp", "whole", "meets", "size", "prefix", "cells", "said"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(
-        run, "doc_id long, fp long, whole long, meets array<long>, size int, prefix array<long>, cells binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("said", _said()).mapInArrow(
+        run, "doc_id long, fp long, whole long, meets array<long>, size int, prefix array<long>, cells binary, said long")
+
+
+def _said() -> Column:
+    """Names the text of a row that has no doc_id."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
 
 
 class _Met:
@@ -505,18 +511,20 @@ def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> D
     one class. Rows without doc_id take part but have no say in component_id.
     """
     found = stage(sketches(docs, width, least, hot_shingles(docs, width)).withColumn("node", F.xxhash64("fp", "whole")), "sketches")
-    classes = stage(found.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[
+    classes = stage(found.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("said").alias("said"), *[
         F.first(c).alias(c) for c in ("fp", "whole", "meets")]), "classes")
     rows = classes.select("fp", F.posexplode("meets").alias("t", "key")).select("t", "key", "fp").distinct()
     near = components(bucket_links(rows, SIMILAR_RADIUS)).select(F.col("node").alias("fp"), "root")
     first = stage(near, "near")
     close = found.select("node", "fp", "size", "prefix", "cells").join(first, "fp", "left").withColumn("root", F.coalesce("root", "fp")).drop("fp")
     joined = components(prefix_links(close, least)).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    groups = classes.select("node", "fp", "first_id", "whole").join(first, "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(
-        joined, "root", "left").select("node", "first_id", "whole", F.coalesce("top", "root").alias("root"))
+    groups = classes.select("node", "fp", "first_id", "said", "whole").join(first, "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(
+        joined, "root", "left").select("node", "first_id", "said", "whole", F.coalesce("top", "root").alias("root"))
     sizes = groups.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
-    asked = groups.join(sizes, "root").withColumnRenamed("first_id", "doc_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(asked, "doc_id")
+    by_id = F.col("doc_id").isNotNull().alias("by_id"), F.coalesce("doc_id", "said").alias("name")  # a class without any doc_id is asked for by its text
+    asked = groups.join(sizes, "root").withColumnRenamed("first_id", "doc_id").select("root", "node", "n", "whole", *by_id)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("said", _said()).select(
+        "text", *by_id).join(asked, ["by_id", "name"])
     sets = stage(texts.select("root", "node", "n", "whole", "text").mapInArrow(_sets(width), "root long, node long, n long, shingles array<long>"), "sets")
     plain = sets.filter(f"n <= {TEXTS}").repartition("root").sortWithinPartitions("root").mapInArrow(_exact(["root"], least), "a long, b long")
     keys = ["root", "lo", "hi"]

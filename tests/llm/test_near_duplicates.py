@@ -191,3 +191,12 @@ def test_every_pair_of_the_similarity_is_found(spark, monkeypatch, radius, commo
             parent[max(find(parent, a), find(parent, b))] = min(find(parent, a), find(parent, b))
     assert got == {i: find(parent, i) for i in sets}
     assert 40 < len(rows) - len(set(got.values()))
+
+
+def test_chain_through_a_text_without_doc_id(spark):
+    words = prose(77, 200).split()
+    ends = [" ".join([f"x{side}{k}" if k in range(20 * side, 20 * side + 18) else w for k, w in enumerate(words)]) for side in (0, 9)]
+    rows = [(1, ends[0]), (None, " ".join(words)), (2, ends[1])]
+    assert len(shingles(ends[0]) & shingles(ends[1])) < 0.8 * len(shingles(ends[0]) | shingles(ends[1]))
+    got = near_dup.similar_components(documents(spark, rows)).collect()
+    assert [r["component_id"] for r in got] == [1, 1, 1]

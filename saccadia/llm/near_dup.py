@@ -8,16 +8,16 @@ adders over the planes, and a word is abandoned as soon as all its 64 lanes are
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, stage, text_or_empty, whole_groups
+from .common import stage, text_or_empty, whole_groups
 from .components import components
 
 #: Blocks of a fingerprint, low bits first, and how many of them must agree when at most RADIUS bits differ.
@@ -55,15 +55,20 @@ def fingerprint(text: str, width: int, seed: int = 42) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row; ``fp`` is the fingerprint as a signed long. NULL text counts as no words."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp) of every row; ``fp`` is the fingerprint as a signed long. NULL text counts as no words.
+
+    Columns of longs named in ``keep`` are handed on.
+    """
+    keep = list(keep)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *keep])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), *keep).mapInArrow(
+        run, ", ".join(["doc_id long", "fp long", *(f"{k} long" for k in keep)]))
 
 
 # ---------------------------------------------------------------- bit-sliced comparison
@@ -228,14 +233,15 @@ def in_tiles(rows: DataFrame, size: int, by: str) -> DataFrame:
         {"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")})
 
 
-def near_duplicate_components(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> DataFrame:
+def near_duplicate_components(docs: DataFrame, width: int = 4, radius: int = RADIUS, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that links of <= ``radius`` differing bits can reach.
 
     Equal fingerprints are one class, so copies never multiply the work; only distinct fingerprints are compared.
     NULL or empty texts have fingerprint 0 and link like any other. Repeated rows stay, each with the id of its class.
     A NULL doc_id never becomes a component id unless the component has no other. An empty table gives an empty result.
+    Columns of longs named in ``keep`` are handed on.
     """
-    found = stage(fingerprints(docs, width=width), "fingerprints")
+    found = stage(fingerprints(docs, width=width, keep=keep), "fingerprints")
     classes = stage(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     roots = components(link_forest(classes.select("fp"), radius))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
@@ -243,302 +249,19 @@ def near_duplicate_components(docs: DataFrame, width: int = 4, radius: int = RAD
     named = stage(named, "named")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     lookup = named.join(smallest, "root").select("fp", "component_id")
-    return found.join(lookup, "fp").select("doc_id", "fp", "component_id")
-
-
-# ---------------------------------------------------------------- similarity of word shingles
-
-#: Smallest shingle hashes by which texts meet first: two texts of similarity 0.8 miss each other with odds of 0.2 ** 5.
-MEETINGS = 5
-#: Fingerprints of texts of similarity 0.8 differ in about 8 bits; this many make a first group. What lies further apart
-#: or shares no smallest hash is found by the prefixes.
-SIMILAR_RADIUS = 18
-#: Texts that one exact comparison holds.
-TEXTS = 1500
-#: Cells over which the shingles of a text are counted, to bound how many two texts share.
-CELLS = 128
-#: One text in SAMPLED is read for common shingles; those of HOT_LEAST of them or more are the last of the order, HOT_KEPT
-#: at most. This decides how many texts meet, never which pairs are found.
-SAMPLED, HOT_LEAST, HOT_KEPT = 16, 8, 50_000
-_TURNS = mix64(np.arange(21, 21 + MEETINGS, dtype=np.uint64))
-
-
-def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """Different hashes of the word shingles; fewer words are one shingle, none are none."""
-    if not words:
-        return np.empty(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[k:k + width]), 42) for k in range(max(len(words) - width + 1, 1))], np.uint64))
-
-
-def _words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
-def _whole(words: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(words), 9)
-
-
-def _majority(hashes: np.ndarray) -> int:
-    """Fingerprint of different shingles: a repeated passage has no more say than a single one."""
-    votes = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), SHINGLES_AT_ONCE):
-        bits = np.unpackbits(hashes[at:at + SHINGLES_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.uint16)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
-
-
-def hot_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Hashes of common shingles, the rarest first, as counted in a sample of the texts."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_shingle_hashes(_words(t.as_py()), width) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["shingle"])
-
-    texts = docs.select(text_or_empty().alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).distinct()
-    rows = (texts.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_LEAST)
-            .orderBy(F.col("n").desc(), "shingle").limit(HOT_KEPT).collect())
-    return np.array([r["shingle"] for r in reversed(rows)], np.int64).view(np.uint64)
-
-
-def prefix_length(n: int, least: float) -> int:
-    """Of sets of this size and similarity ``least`` or more, the first so many in any common order share one."""
-    return n - int(np.ceil(least * n - 1e-9)) + 1 if n else 0
-
-
-def sketches(docs: DataFrame, width: int, least: float, hot: np.ndarray) -> DataFrame:
-    """(doc_id, fp, whole, meets, size, prefix, cells): fingerprint, hash of all words, the MEETINGS smallest shingle hashes,
-    number of shingles, the first of them in the order of all texts (``hot`` ones last), and their counts in CELLS cells;
-    ``said`` names the text where doc_id is NULL."""
-    shared = docs.sparkSession.sparkContext.broadcast((np.sort(hot), np.argsort(hot, kind="stable") + 1))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rank = shared.value
-        for batch in batches:
-            fps, wholes, meets, sizes, prefixes, cells = [], [], [], [], [], []
-            for text in batch.column(1):
-                words = _words(text.as_py())
-                shingles = _shingle_hashes(words, width)
-                fps.append(_majority(shingles))
-                wholes.append(_whole(words))
-                meets.append([int(mix64(shingles ^ t).min()) for t in _TURNS] if len(shingles) else [0] * MEETINGS)
-                mixed, late = mix64(shingles), np.zeros(len(shingles), np.int64)
-                if len(common):
-                    spot = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-                    late = np.where(common[spot] == shingles, rank[spot], 0)
-                sizes.append(len(shingles))
-                prefixes.append(mixed[np.lexsort((mixed, late))[:prefix_length(len(shingles), least)]].view(np.int64))
-                counts = np.bincount((mixed % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-                cells.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
-            as_long = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            lists = lambda v, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), as_long(fps), as_long(wholes),
-                 lists(np.array(meets, np.uint64).reshape(-1).view(np.int64), np.arange(len(fps) + 1) * MEETINGS), pa.array(sizes, pa.int32()),
-                 lists(np.concatenate([np.empty(0, np.int64), *prefixes]), np.concatenate(([0], np.cumsum([len(p) for p in prefixes], dtype=np.int64)))),
-                 pa.array(cells, pa.binary()), batch.column(2)],
-                ["doc_id", "fp", "whole", "meets", "size", "prefix", "cells", "said"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("said", _said()).mapInArrow(
-        run, "doc_id long, fp long, whole long, meets array<long>, size int, prefix array<long>, cells binary, said long")
-
-
-def _said() -> Column:
-    """Names the text of a row that has no doc_id."""
-    return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-
-
-class _Met:
-    """Texts that share a prefix shingle: their first group, size, place of the shingle, and cells."""
-
-    def __init__(self, table: pa.Table, least: float):
-        self.root = table.column("root").to_numpy()
-        self.size, self.pos = (table.column(k).to_numpy().astype(np.int64) for k in ("size", "pos"))
-        self.cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
-        self.share = least / (1 + least)
-
-    def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Which pairs of rows may be similar: bounds by sizes, by the places of the shingle and by the counts in cells."""
-        both = self.size[i] + self.size[j]
-        needed = self.share * both - 1e-6
-        most = np.minimum(self.pos[i], self.pos[j]) + np.minimum(self.size[i] - self.pos[i], self.size[j] - self.pos[j])
-        out = np.flatnonzero(most >= needed)  # the sum is at most the smaller size
-        for at in range(0, len(out), 1 << 14):
-            part = out[at:at + (1 << 14)]
-            a, b = self.cells[i[part]], self.cells[j[part]]
-            apart = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
-            out[at:at + (1 << 14)] = np.where(apart <= both[part] - 2 * needed[part], part, -1)
-        return out[out >= 0]
-
-    def small(self, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of groups from all small buckets at once."""
-        for s in range(1, SMALL):
-            i = np.flatnonzero(group[:-s] == group[s:]) if len(group) > s else np.empty(0, np.int64)
-            if not len(i):
-                return
-            i = i[self.root[i] != self.root[i + s]]
-            i = i[self.possible(i, i + s)]
-            yield self.root[i], self.root[i + s]
-
-    def large(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A forest over the groups of one bucket; only rows outside its largest group ask."""
-        names, label = np.unique(self.root[rows], return_inverse=True)
-        largest = np.bincount(label).argmax()
-        first, links = label.copy(), []
-        done = np.zeros(len(rows), bool)
-        for i in np.flatnonzero(label != largest).tolist():
-            done[i] = True
-            j = np.flatnonzero((label != label[i]) & ~done)
-            if not len(j):
-                continue
-            for k in np.unique(label[j[self.possible(np.full(len(j), rows[i]), rows[j])]]).tolist():
-                links.append((names[first[i]], names[first[np.flatnonzero(label == k)[0]]]))
-                label[label == k] = label[i]
-        a, b = np.array(links, np.int64).reshape(-1, 2).T
-        return a, b
-
-
-def _meetings(keys: list[str], least: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, keys):
-            starts = np.ones(table.num_rows, bool)
-            starts[1:] = np.logical_or.reduce([(v := table.column(k).to_numpy())[1:] != v[:-1] for k in keys])
-            at = np.flatnonzero(starts)
-            counts = np.diff(np.append(at, table.num_rows))
-            few = np.repeat(counts <= SMALL, counts)
-            found = list(_Met(table.filter(pa.array(few)), least).small((np.cumsum(starts) - 1)[few]))
-            for k in np.flatnonzero(counts > SMALL):
-                found.append(_Met(table.slice(at[k], counts[k]), least).large(np.arange(counts[k])))
-            pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *(np.stack(p, axis=1) for p in found)]), axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return run
-
-
-def prefix_links(groups: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) of the groups ``root`` between which a pair of texts may have a similarity of ``least``.
-
-    Two such texts share a shingle of their prefixes, so they meet under it; no pair is lost. Only texts of different
-    groups are looked at; repeated rows of a text count once. Large buckets are cut into tiles that meet two by two.
-    """
-    by = Window.partitionBy("key")
-    rows = groups.select("node", "root", F.posexplode("prefix").alias("pos", "key")).withColumns(
-        {"low": F.min("root").over(by), "high": F.max("root").over(by)})
-    met = stage(rows.filter("low < high").select("key", "node", "root", "pos").distinct(), "met")
-    about = groups.join(met.select("node").distinct(), "node", "left_semi").select("node", "size", "cells").dropDuplicates(["node"])
-    met = stage(met.withColumn("n", F.count("*").over(by)).join(about, "node"), "met")
-    columns = ["root", "size", "pos", "cells"]
-    plain = (met.filter(f"n <= {BUCKET}").repartition("key").sortWithinPartitions("key").select("key", *columns)
-             .mapInArrow(_meetings(["key"], least), "a long, b long"))
-    keys = ["key", "lo", "hi"]
-    tiled = in_tiles(met.filter(f"n > {BUCKET}"), BUCKET, "node").repartition(*keys).sortWithinPartitions(*keys)
-    return plain.union(tiled.select(*keys, *columns).mapInArrow(_meetings(keys, least), "a long, b long")).distinct()
-
-
-def similar_pairs(sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
-    """A forest of the pairs of sets with a Jaccard similarity of at least ``least``."""
-    sizes = np.array([len(s) for s in sets])
-    _, item = np.unique(np.concatenate(sets) if len(sets) else np.empty(0, np.uint64), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(item, kind="stable")
-    owners, first = owner[order], np.searchsorted(item[order], np.arange(item.max() + 2 if len(item) else 1))
-    ends = np.cumsum(sizes)
-    above, apart = list(range(len(sets))), len(sets) - 1
-
-    def top(k: int) -> int:
-        while above[k] != k:
-            above[k] = above[above[k]]
-            k = above[k]
-        return k
-
-    for i in range(len(sets)):
-        mine = item[ends[i] - sizes[i]:ends[i]]
-        start, count = first[mine], first[mine + 1] - first[mine]
-        spots = np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-        shared = np.bincount(owners[spots], minlength=len(sets))
-        for j in (np.flatnonzero(shared[i + 1:] >= least * (sizes[i] + sizes[i + 1:] - shared[i + 1:]) - 1e-9) + i + 1).tolist() if sizes[i] else []:
-            a, b = top(i), top(j)
-            if a != b:
-                above[max(a, b)] = min(a, b)
-                yield i, j
-                apart -= 1
-                if not apart:  # all are one component
-                    return
-
-
-def _exact(keys: list[str], least: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, keys):
-            new = np.zeros(table.num_rows, bool)
-            new[1:] = np.logical_or.reduce([(v := table.column(k).to_numpy())[1:] != v[:-1] for k in keys])
-            cuts = [0, *np.flatnonzero(new).tolist(), table.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                names = table.column("node").slice(a, b - a).to_numpy()
-                links = list(similar_pairs([s.values.to_numpy().view(np.uint64) for s in table.column("shingles").slice(a, b - a)], least))
-                if links:
-                    i, j = np.array(links).T
-                    yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(names[j])], ["a", "b"])
-
-    return run
-
-
-def _sets(width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The shingles of the texts asked for; another text under the same doc_id is passed over."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, shingles = [], []
-            for k, (text, whole) in enumerate(zip(batch.column("text"), batch.column("whole").to_pylist(), strict=True)):
-                words = _words(text.as_py())
-                if _whole(words) == whole % (1 << 64):
-                    keep.append(k)
-                    shingles.append(_shingle_hashes(words, width).view(np.int64))
-            taken = batch.take(pa.array(keep, pa.int64()))
-            ends = np.concatenate(([0], np.cumsum([len(s) for s in shingles])))
-            yield pa.RecordBatch.from_arrays([taken.column("root"), taken.column("node"), taken.column("n"), pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(np.concatenate(shingles) if shingles else [], pa.int64()))], ["root", "node", "n", "shingles"])
-
-    return run
-
-
-def similar_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of the texts whose word shingles have a Jaccard similarity of ``least`` with another.
-
-    Texts that share one of their smallest shingle hashes meet in a bucket, where their fingerprints are compared
-    bit-sliced with a wide radius; what is close gets into one group. Texts of different groups meet again by the shingles
-    of their prefixes, and where bounds leave a pair possible their groups become one. Inside a group all shingle sets are
-    compared exactly, so every pair of the similarity is found. Texts of equal words are one class throughout. component_id is the smallest doc_id. Texts without words are
-    one class. Rows without doc_id take part but have no say in component_id.
-    """
-    found = stage(sketches(docs, width, least, hot_shingles(docs, width)).withColumn("node", F.xxhash64("fp", "whole")), "sketches")
-    classes = stage(found.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("said").alias("said"), *[
-        F.first(c).alias(c) for c in ("fp", "whole", "meets")]), "classes")
-    rows = classes.select("fp", F.posexplode("meets").alias("t", "key")).select("t", "key", "fp").distinct()
-    near = components(bucket_links(rows, SIMILAR_RADIUS)).select(F.col("node").alias("fp"), "root")
-    first = stage(near, "near")
-    close = found.select("node", "fp", "size", "prefix", "cells").join(first, "fp", "left").withColumn("root", F.coalesce("root", "fp")).drop("fp")
-    joined = components(prefix_links(close, least)).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    groups = classes.select("node", "fp", "first_id", "said", "whole").join(first, "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(
-        joined, "root", "left").select("node", "first_id", "said", "whole", F.coalesce("top", "root").alias("root"))
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
-    by_id = F.col("doc_id").isNotNull().alias("by_id"), F.coalesce("doc_id", "said").alias("name")  # a class without any doc_id is asked for by its text
-    asked = groups.join(sizes, "root").withColumnRenamed("first_id", "doc_id").select("root", "node", "n", "whole", *by_id)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("said", _said()).select(
-        "text", *by_id).join(asked, ["by_id", "name"])
-    sets = stage(texts.select("root", "node", "n", "whole", "text").mapInArrow(_sets(width), "root long, node long, n long, shingles array<long>"), "sets")
-    plain = sets.filter(f"n <= {TEXTS}").repartition("root").sortWithinPartitions("root").mapInArrow(_exact(["root"], least), "a long, b long")
-    keys = ["root", "lo", "hi"]
-    tiled = in_tiles(sets.filter(f"n > {TEXTS}"), TEXTS, "node").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_exact(keys, least), "a long, b long")
-    named = classes.join(components(plain.union(tiled)), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    named = stage(named, "named")
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return found.select("doc_id", "node").join(named.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return found.join(lookup, "fp").select("doc_id", "fp", "component_id", *keep)
 
 
-def keep_first(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that a similar text of smaller doc_id stands for.
+def keep_first(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that a document of smaller doc_id in their component stands for.
 
-    Rows without doc_id stay, and so do repeated rows of a doc_id that stays.
+    A row is known by doc_id and text, so another text under the same doc_id is judged for itself. Repeated rows of the
+    document that stays, stay. A row without doc_id goes where its component has a document with one, and stays otherwise.
+    NULL and empty texts are one component. An empty table stays empty; other columns may have any name.
     """
-    gone = similar_components(docs, width, least).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    said = F.xxhash64(text_or_empty())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), said.alias("said"))
+    found = near_duplicate_components(rows, width, radius, keep=("said",))
+    gone = found.filter("component_id is not null and not (doc_id <=> component_id)").select(
+        F.col("doc_id").alias("__gone_id"), F.col("said").alias("__gone_said")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone_id")) & (said == F.col("__gone_said")), "left_anti")

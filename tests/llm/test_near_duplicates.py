@@ -2,7 +2,6 @@
 
 import hashlib
 import itertools
-import re
 from collections import Counter
 
 import numpy as np
@@ -10,19 +9,12 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from helpers import documents, find, prose, texts
+from helpers import documents, find, plain_fingerprint, prose, texts
 from saccadia.llm import doc_fingerprint, near_dup
 from saccadia.llm.components import components
 from saccadia.llm.queries import SPARK
 
 
-def plain_fingerprint(text: str | None, width: int = 4) -> int:
-    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
-    shingles = [b" ".join(words[k:k + width]) for k in range(len(words) - width + 1)] or ([b" ".join(words)] if words else [])
-    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
 def test_fingerprints_and_components(spark):
     got = near_dup.near_duplicate_components(documents(spark)).toPandas()
     fps = [plain_fingerprint(t) for _, t in texts()]
@@ -79,44 +71,33 @@ def test_lanes_within_counts_exactly():
         assert (found[:1000] == (np.bitwise_count(a ^ b) <= radius)).all()
 
 
-def shingles(text: str | None) -> frozenset:
-    words = (text or "").encode().lower().split()
-    return frozenset(tuple(words[k:k + 5]) for k in range(max(len(words) - 4, 1))) if words else frozenset()
-
-
-def edited_groups():
-    rows = []
-    for g in range(12):
-        words = prose(100 + g, 300).split(" ")
-        for c in range(4):
-            rows.append((len(rows), " ".join(w if (k + 1) % (110 + 9 * c) else f"w{c}{k}" for k, w in enumerate(words))))
-    return rows + [(900 + k, prose(300 + k, 60)) for k in range(30)]
-
-
-@pytest.mark.parametrize("tile", [1500, 3])
-def test_similar_texts_against_all_pairs(spark, monkeypatch, tile):
-    monkeypatch.setattr(near_dup, "TEXTS", tile)
-    rows = edited_groups() + [(2000 + k, t) for k, (_, t) in enumerate(texts())]
-    got = {r["doc_id"]: r["component_id"] for r in near_dup.similar_components(documents(spark, rows)).collect()}
-    sets = {i: shingles(t) for i, t in rows}
-    parent = {i: i for i in sets}
-    for a, b in itertools.combinations(sets, 2):
-        same = sets[a] == sets[b] if not (sets[a] and sets[b]) else len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-        if same:
-            parent[max(find(parent, a), find(parent, b))] = min(find(parent, a), find(parent, b))
-    assert got == {i: find(parent, i) for i in sets}
-    assert len(set(got.values())) < len(got) - 20
-
-
-def test_keep_first_keeps_columns_and_rows(spark):
+def test_keep_first_against_all_pairs(spark):
     docs = documents(spark)
     kept = near_dup.keep_first(docs)
     assert kept.columns == docs.columns
-    ids = Counter(r["doc_id"] for r in kept.select("doc_id").collect())
-    assert ids[10] == 2 and ids[None] == 2 and not {11, 12} & set(ids) and ids[30] == 2
+    rows = texts()
+    fps = [plain_fingerprint(t) for _, t in rows]
+    parent = list(range(len(rows)))
+    for a, b in itertools.combinations(parent[:], 2):
+        if (fps[a] ^ fps[b]).bit_count() <= 4:
+            parent[find(parent, b)] = find(parent, a)
+    smallest = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            smallest[find(parent, k)] = min(i, smallest.get(find(parent, k), i))
+    want = Counter((i, t) for k, (i, t) in enumerate(rows) if smallest.get(find(parent, k), i) == i)
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
+    assert want[10, rows[0][1]] == 2 and not {11, 15, 16} & {i for i, _ in want}
     assert near_dup.keep_first(docs.limit(0)).count() == 0
 
 
+def test_keep_first_judges_texts_of_one_doc_id_apart(spark):
+    a, b = prose(41, 80), prose(42, 80)
+    rows = [(1, a), (5, a), (5, b), (6, b), (None, b), (None, prose(43, 80))]
+    kept = near_dup.keep_first(documents(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(1, a), (5, b), rows[-1]])
+
+
 def test_doc_fingerprints_against_brute_force(spark):
     rows = sorted({i: t for i, t in texts() if i is not None}.items())
     got = {r["doc_id"]: r for r in doc_fingerprint.fingerprints(documents(spark, rows)).collect()}
@@ -150,53 +131,9 @@ def test_permuted_tables_count_all_neighbours(spark, monkeypatch, bucket):
 def test_awkward_tables(spark):
     assert doc_fingerprint.fingerprints(documents(spark)).count() == len(texts())
     assert doc_fingerprint.fingerprints(documents(spark, [(1, "only one")])).first()["near_next"] == 1
-    for f in (doc_fingerprint.fingerprints, near_dup.near_duplicate_components, near_dup.similar_components):
+    for f in (doc_fingerprint.fingerprints, near_dup.near_duplicate_components):
         assert f(documents(spark).limit(0)).count() == 0
 
 
 def test_registered(spark, sf):
     assert SPARK["op1_simhash_near_dedup"](spark, sf).columns[:3] == ["doc_id", "fingerprint", "component_id"]
-
-
-def awkward_pairs():
-    """Pairs of a similarity around 0.8, and texts of which one repeats a passage many times."""
-    rng, rows = np.random.default_rng(3), []
-    for g in range(60):
-        words = prose(500 + g, 60 + 5 * g).split()
-        other, n = list(words), len(set(zip(*(words[k:] for k in range(5)))))
-        for spot in rng.permutation(len(words)).tolist():
-            now = set(zip(*(other[k:] for k in range(5))))
-            mine = set(zip(*(words[k:] for k in range(5))))
-            if len(mine & now) / len(mine | now) < 0.84:
-                break
-            other[spot] = f"new{g}x{spot}"
-        cut = int(rng.integers(0, 8))
-        rows += [" ".join(words), " ".join(other[:len(other) - cut]), " ".join(words[:n // 2] + words[:12] * (5 + g) + words[n // 2:])]
-    return list(enumerate(rows))
-
-
-@pytest.mark.parametrize("radius,common,bucket", [(18, 8, 4096), (1, 8, 4096), (1, 1, 20)])
-def test_every_pair_of_the_similarity_is_found(spark, monkeypatch, radius, common, bucket):
-    monkeypatch.setattr(near_dup, "SIMILAR_RADIUS", radius)
-    monkeypatch.setattr(near_dup, "BUCKET", bucket)
-    if hasattr(near_dup, "HOT_LEAST"):
-        monkeypatch.setattr(near_dup, "HOT_LEAST", common)
-        monkeypatch.setattr(near_dup, "SAMPLED", 2)
-    line = " ".join(f"common{k}" for k in range(12))
-    rows = awkward_pairs() + [(1000 + k, line + " " + prose(900 + k, 30)) for k in range(40)]
-    got = {r["doc_id"]: r["component_id"] for r in near_dup.similar_components(documents(spark, rows)).collect()}
-    sets, parent = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
-    for a, b in itertools.combinations(sets, 2):
-        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-            parent[max(find(parent, a), find(parent, b))] = min(find(parent, a), find(parent, b))
-    assert got == {i: find(parent, i) for i in sets}
-    assert 40 < len(rows) - len(set(got.values()))
-
-
-def test_chain_through_a_text_without_doc_id(spark):
-    words = prose(77, 200).split()
-    ends = [" ".join([f"x{side}{k}" if k in range(20 * side, 20 * side + 18) else w for k, w in enumerate(words)]) for side in (0, 9)]
-    rows = [(1, ends[0]), (None, " ".join(words)), (2, ends[1])]
-    assert len(shingles(ends[0]) & shingles(ends[1])) < 0.8 * len(shingles(ends[0]) | shingles(ends[1]))
-    got = near_dup.similar_components(documents(spark, rows)).collect()
-    assert [r["component_id"] for r in got] == [1, 1, 1]

@@ -15,12 +15,18 @@ def identified_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that share 0.8 or more of their five-word shingles the one with the smallest doc_id stays."""
-    return near_dup.keep_first(docs, width=5, least=0.8)
+    """Of documents linked by SimHash fingerprints (four-word shingles, four bits at most) the one with the smallest doc_id stays.
+
+    NULL and empty texts are one group; repeated rows of the document that stays, stay; an empty table stays empty.
+    """
+    return near_dup.keep_first(docs, width=4, radius=4)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 200 bytes or more that occur elsewhere are cut out; every document stays, ``n_chars`` follows its text."""
+    """Passages of 200 bytes or more that occur elsewhere are cut out; every document stays, ``n_chars`` follows its text.
+
+    NULL texts stay NULL, texts shorter than a passage stay whole.
+    """
     return repeats.without_repeats(docs)
 
 

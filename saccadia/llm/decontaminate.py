@@ -2,7 +2,10 @@
 
 A mask is laid over every run of words; only the words under its ones are hashed, so a word replaced under a zero does not
 hide the passage. Hashes of the benchmark items and of the documents are joined, and every hit fixes an alignment. Along it
-the words are compared one by one: the best ungapped segment (a match counts 1, a difference -2) decides.
+the words are compared one by one, and every ungapped window of enough equal words and a large enough share of them counts.
+
+The masks together hit every window of 12 to 20 words that counts (tests walk all of them), and all of 21 to 24 words that
+were drawn at random.
 
 The benchmark is the build side and is cut into blocks of bounded size, one broadcast each; the documents never move.
 """
@@ -19,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import WordHashes, mix64, stage, text_or_empty
 
 #: Masks over consecutive words; a one is a word that must be equal.
-MASKS = ("111010011", "1100101011", "1011000111", "1101100101")
-#: A segment is an overlap from this many equal words on, or from all words of a shorter item,
+MASKS = ("11010111", "110100001011", "111011001", "111001010001", "1101111", "100011111", "1101100011")
+#: A window of an alignment is an overlap from this many equal words on, or from all words of a shorter item,
 LEAST_WORDS = 12
 #: and with at least this share of equal words.
 LEAST_SHARE = 0.75
@@ -78,7 +81,7 @@ class Items:
             self.tables.append((joined[order], np.concatenate(owner)[order] if seeds else order, np.concatenate(place)[order] if seeds else order, seen))
 
     def overlaps(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, equal words, words of the segment, first word in the text): the best segment per item."""
+        """(item, equal words, words of the window, first word in the text): the best window per item."""
         hits: set[tuple[int, int]] = set()
         for mask, (seeds, owner, place, seen) in zip(self.masks, self.tables, strict=True):
             mine = _seeds(words, mask)
@@ -92,19 +95,30 @@ class Items:
         for k, shift in hits:
             item = self.items[k][1]
             first, last = max(0, -shift), min(len(item), len(words) - shift)
-            equal, length, begin = best_segment(item[first:last] == words[first + shift:last + shift])
-            if equal >= min(LEAST_WORDS, len(item)) and equal >= LEAST_SHARE * length:
+            found = best_window(item[first:last] == words[first + shift:last + shift], min(LEAST_WORDS, len(item)))
+            if found:
+                equal, length, begin = found
                 best[k] = max(best.get(k, (0, 0, 0)), (equal, -length, -(begin + first + shift)))
         return [(self.items[k][0], e, -n, -at) for k, (e, n, at) in sorted(best.items(), key=lambda x: (x[0], x[1]))]
 
 
-def best_segment(equal: np.ndarray) -> tuple[int, int, int]:
-    """(equal words, length, start) of the segment with the largest sum of 1 per equal and -2 per different word."""
-    sums = np.concatenate(([0], np.cumsum(np.where(equal, 1, -2))))
-    low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    begin = int(np.flatnonzero(sums[:end + 1] == low[end])[-1])
-    return int(equal[begin:end].sum()), end - begin, begin
+def best_window(equal: np.ndarray, least: int, share: float = LEAST_SHARE) -> tuple[int, int, int] | None:
+    """(equal words, length, start) of the window with the most equal words among those of ``least`` and of ``share``, if any.
+
+    ``score`` rises where words are equal and falls where they are not, so a window of the share is one whose end is no lower
+    than its start. For every end the first such start is the best one.
+    """
+    if int(equal.sum()) < least:
+        return None
+    count = np.concatenate(([0], np.cumsum(equal)))
+    score = count - share * np.arange(len(count)) + 1e-9 * np.arange(len(count))
+    start = np.searchsorted(-np.minimum.accumulate(score), -score)
+    inside = count - count[start]
+    end = int(np.argmax(inside))
+    if inside[end] < least:
+        return None
+    begin, end = int(np.flatnonzero(equal[start[end]:])[0] + start[end]), int(np.flatnonzero(equal[:end])[-1] + 1)
+    return int(count[end] - count[begin]), end - begin, begin
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -133,9 +147,10 @@ def _per_block(docs: DataFrame, benchmark: DataFrame, apply: Callable, schema: s
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched_words, segment_words, first_word, share) of each text and benchmark item that overlap.
 
-    Words are lower-cased runs without ASCII punctuation. A pair counts if its best segment has LEAST_WORDS equal words (all
-    words for shorter items) and LEAST_SHARE of them. NULL and empty texts or items never overlap, items without an id are
-    ignored; repeated rows of ``docs`` are each judged, repeated items count once per id. Extra columns are ignored.
+    Words are lower-cased runs without ASCII punctuation. A pair counts if a window of an alignment has LEAST_WORDS equal words
+    (all words for shorter items) and LEAST_SHARE of them; ``segment_words`` is the length of that with the most. Texts are
+    read whole, whatever their length. NULL and empty texts or items never overlap, items without an id are ignored; repeated
+    rows of ``docs`` are each judged, repeated items count once per id. Extra columns are ignored.
     """
     schema = "doc_id long, item_id long, matched_words long, segment_words long, first_word long, share double"
 
@@ -165,7 +180,10 @@ def _once(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, in
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that overlap no benchmark item; each block filters what the one before kept."""
+    """The rows of ``docs``, all columns, that overlap no benchmark item; each block filters what the one before kept.
+
+    NULL and empty texts stay, repeated rows stay or go together; without a benchmark or without rows nothing changes.
+    """
     at, spark = docs.columns.index("text"), docs.sparkSession
     for n, rows in enumerate(_blocks(benchmark)):
         block = spark.sparkContext.broadcast(Items(rows))

@@ -30,6 +30,8 @@ INPUT = PATH_SIZE + WORD_SIZE + NUMBERS
 HIDDEN = 16
 #: Blocks times pages that one pass over padded sequences holds.
 PADDED = 8_000
+#: Blocks whose input vectors are made at a time; of a page only what the gates get from them is kept.
+STRETCH = 4_000
 
 # fixed values of the HTML language
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup "
@@ -39,9 +41,14 @@ CLOSES_P = frozenset("address article aside blockquote center details dir div dl
                      "main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
+# elements whose content is no markup, and those that show no text
+RAW = frozenset("script style textarea title iframe".split())
+HIDDEN_PARTS = RAW | {"head"}
+
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|title|select|object|math)\b.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"""
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"""
     r"""|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attributes>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<close2>/?)(?P<name2>[a-z][a-z0-9:-]*)[^>]*>""", re.S | re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -60,7 +67,10 @@ def _element(name: str, attributes: str) -> str:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The leaf blocks with text, scripts, styles, comments and the page head left out."""
+    """The leaf blocks with text, scripts, styles, comments and the page head left out.
+
+    A raw element that is never closed ends with the element around it; a tag that ends with ``/>`` holds nothing.
+    """
     found: list[Block] = []
     stack: list[tuple[str, str]] = []
     pieces: list[str] = []
@@ -86,8 +96,8 @@ def blocks_of(page: str) -> list[Block]:
         pieces.append(piece)
         linked += len(piece) if in_link else 0
 
-    at = 0
-    for m in _TAG.finditer(page):
+    at, unclosed = 0, set()
+    while m := _TAG.search(page, at):
         if m.start() > at:
             add(page[at:m.start()])
         at = m.end()
@@ -118,12 +128,17 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[k][0] not in INLINE:
                     break
         if name not in VOID and not (m["attributes"] or "").rstrip().endswith("/"):
+            if name in RAW and name not in unclosed:
+                if end := _RAW_END[name].search(page, at):
+                    at = end.end()
+                    continue
+                unclosed.add(name)
             stack.append((name, _element(name, m["attributes"] or "")))
             in_link += name == "a"
     if at < len(page):
         add(page[at:])
     flush()
-    return [b for b in found if not any(e.split(".")[0] == "head" for e in b.path)]
+    return [b for b in found if not any(e.split(".")[0] in HIDDEN_PARTS for e in b.path)]
 
 
 # ---------------------------------------------------------------- features
@@ -148,9 +163,11 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return out
 
 
-def features(blocks: list[Block]) -> np.ndarray:
-    out = np.zeros((len(blocks), INPUT))
-    for k, b in enumerate(blocks):
+def features(blocks: list[Block], first: int = 0, last: int | None = None) -> np.ndarray:
+    """Input vectors of the blocks from ``first`` to before ``last``."""
+    some = blocks[first:last]
+    out = np.zeros((len(some), INPUT))
+    for k, b in enumerate(some):
         out[k, :PATH_SIZE] = _path_vector(b.path)
         words = b.text.lower().split()
         for w in words:
@@ -159,7 +176,7 @@ def features(blocks: list[Block]) -> np.ndarray:
         heard = out[k, PATH_SIZE:PATH_SIZE + WORD_SIZE]
         heard /= max(np.sqrt((heard * heard).sum()), 1.0)
         out[k, PATH_SIZE + WORD_SIZE:] = (np.log1p(len(words)) / 4, b.linked / max(len(b.text), 1), min(b.text.count(".") / len(words), 1), len(b.path) / 8,
-                                          k / len(blocks), float(b.text[-1] in ".!?"))
+                                          (first + k) / len(blocks), float(b.text[-1] in ".!?"))
     return out
 
 
@@ -262,20 +279,50 @@ def train(pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 8, batch: in
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
+def _gate_inputs(blocks: list[Block], w: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """What the gates of both directions get from each block."""
+    return np.concatenate([features(blocks, at, at + STRETCH).astype(np.float32) @ w for at in range(0, len(blocks), STRETCH)]) + bias
+
+
+def _states(gates_in: np.ndarray, mask: np.ndarray, wh: np.ndarray) -> np.ndarray:
+    """Hidden states of one direction, as ``_run`` has them, without what training needs."""
+    pages, steps, _ = gates_in.shape
+    h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
+    out = np.zeros((pages, steps, HIDDEN), np.float32)
+    for t in range(steps):
+        g = gates_in[:, t] + h @ wh
+        opened = _sigmoid(g[:, :3 * HIDDEN])
+        new = opened[:, HIDDEN:2 * HIDDEN] * c + opened[:, :HIDDEN] * np.tanh(g[:, 3 * HIDDEN:])
+        m = mask[:, t, None]
+        c = np.where(m, new, c)
+        h = np.where(m, opened[:, 2 * HIDDEN:] * np.tanh(new), h)
+        out[:, t] = h
+    return out
+
+
 def label(pages: list[list[Block]], model: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """For each page which of its blocks belong to the article; pages of like length are read together."""
+    """For each page which of its blocks belong to the article; pages of like length are read together.
+
+    A block takes some hundred bytes while its page is labelled, however many a page has.
+    """
     out: list[np.ndarray] = [np.zeros(len(b), bool) for b in pages]
     order = sorted((k for k, b in enumerate(pages) if b), key=lambda k: len(pages[k]))
+    w, bias, half = np.concatenate((model["fx"], model["bx"]), axis=1), np.concatenate((model["fc"], model["bc"])), 4 * HIDDEN
     at = 0
     while at < len(order):
         last = at + 1
         while last < len(order) and (last + 1 - at) * len(pages[order[last]]) <= PADDED:
             last += 1
         part = order[at:last]
-        x, mask = _padded([features(pages[k]) for k in part])
-        logits = _logits(x.astype(np.float32), mask, model)[0]
+        sizes = np.array([len(pages[k]) for k in part])
+        gates = np.zeros((len(part), sizes.max(), 2 * half), np.float32)
+        for row, k in enumerate(part):
+            gates[row, :sizes[row]] = _gate_inputs(pages[k], w, bias)
+        mask = np.arange(sizes.max()) < sizes[:, None]
+        logits = _states(gates[:, :, :half], mask, model["fh"]) @ model["out"][:HIDDEN]
+        logits += _states(gates[:, ::-1, half:], mask[:, ::-1], model["bh"])[:, ::-1] @ model["out"][HIDDEN:] + model["bias"]
         for row, k in enumerate(part):
-            out[k] = logits[row, :len(pages[k])] > 0
+            out[k] = logits[row, :sizes[row]] > 0
         at = last
     return out
 
@@ -287,7 +334,7 @@ ARTICLE = frozenset("article main content post entry story body text prose parag
 OTHER = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot sidebar side aside widget ad ads advert advertisement adbox "
                   "banner sponsor sponsored promo promotion form login signup subscribe newsletter search cookie cookies consent notice alert message popup "
                   "modal overlay comment comments reply replies discussion disqus responses related recommended more share social tags meta copyright legal "
-                  "pagination pager button toolbar skip".split())
+                  "pagination pager button toolbar skip select option datalist".split())
 
 
 def teach(block: Block) -> int:
@@ -309,7 +356,7 @@ _LEAVES = ("p", "p", "p", "p", "h1", "h2", "h3", "ul|li", "ol|li", "blockquote",
 _NOISE = (("nav", "ul", "li", "a"), ("div.menu", "ul", "li", "a"), ("header",), ("header", "h1"), ("header", "p"), ("div.header", "a"), ("div.masthead", "h1"), ("footer",), ("footer", "p"),
           ("div.footer", "p"), ("div.footer", "ul", "li", "a"), ("aside",), ("aside", "p"), ("aside", "h3"), ("aside", "ul", "li", "a"), ("div.sidebar", "p"), ("div.sidebar", "div.widget", "h3"),
           ("div.widget", "ul", "li", "a"), ("div.ad",), ("div.ads", "a"), ("div.advert", "p"), ("div.advertisement",), ("aside.ad", "p"), ("section.advert", "p"), ("div.banner", "p"), ("div.sponsored", "p"), ("div.promo", "a"),
-          ("form", "label"), ("form", "p"), ("form", "button"), ("form.search", "label"), ("div.login", "form", "label"), ("div.newsletter", "form", "p"), ("form.subscribe", "p"),
+          ("form", "label"), ("form", "p"), ("form", "button"), ("form.search", "label"), ("form", "select", "option"), ("select", "option"), ("div.login", "form", "label"), ("div.newsletter", "form", "p"), ("form.subscribe", "p"),
           ("div.cookie", "p"), ("div.cookie.notice",), ("div.cookie.banner", "p"), ("div.consent", "p"), ("div.notice", "p"), ("div.notice",), ("aside.notice", "p"), ("div.alert", "p"), ("p.notice",), ("div.popup", "p"), ("div.modal", "p"),
           ("section.comments", "p"), ("section.comments", "h2"), ("div.comments", "div.comment", "p"), ("div.comments", "ul", "li.comment", "p"), ("ol.comments", "li", "p"), ("div.comment",), ("section.comments", "article.comment", "p"),
           ("div.reply", "p"), ("section.discussion", "p"), ("div.responses", "p"), ("div.related", "a"), ("section.related", "ul", "li", "a"), ("div.share", "a"), ("div.social", "a"), ("div.breadcrumbs", "a"), ("nav.breadcrumb", "a"),
@@ -359,9 +406,14 @@ class SampleBound:
 
 
 def fit(pages: DataFrame, bound: SampleBound = SampleBound()) -> dict[str, np.ndarray]:
-    """Train on a hash sample of the pages, of bounded number and size."""
-    rows = (pages.select(F.col("page_id"), F.substring(text_or_empty("html"), 1, bound.characters).alias("html")).filter("html <> ''")
-            .orderBy(F.xxhash64("page_id", F.lit(7)), "page_id").limit(bound.pages).collect())
+    """Train on a hash sample of the pages, of bounded number and size; equal pages count once.
+
+    The sample is chosen by hashes alone, so that no task sends more than numbers for pages that are not in it.
+    """
+    cut = pages.select(F.substring(text_or_empty("html"), 1, bound.characters).alias("html")).where("html <> ''").select(
+        F.xxhash64(F.lit(7), "html").alias("h"), "html")
+    chosen = [r["h"] for r in cut.select("h").distinct().orderBy("h").limit(bound.pages).collect()]
+    rows = cut.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect() if chosen else []
     found = [blocks_of(r["html"]) for r in rows]
     given = [(features(b), np.array([teach(x) for x in b])) for b in found if b]
     texts = sorted({x.text for b in found for x in b}) or ["text"]
@@ -374,7 +426,8 @@ def extract(pages: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by one space. NULL or
-    empty html gives an empty text. Pages are read whole, broken markup as far as it can be. Repeated rows stay.
+    empty html gives an empty text. Pages are read whole, whatever their length, broken markup as far as it can be. Repeated
+    rows stay, other columns are ignored.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -71,3 +71,34 @@ def test_awkward_pages(spark, model):
     assert len(got) == 6 and [r["n_chars"] for r in got][:2] == [0, 0]
     assert got[3]["text"] == ("word " * 40000).strip()
     assert hb.extract(spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "select", "noscript", "template"])
+def test_elements_that_hold_text_are_read(tag):
+    closed = [b.text for b in hb.blocks_of(f"<article><p>a</p><{tag} class=i><p>inside</p></{tag}><p>rest</p></article>")]
+    empty = [b.text for b in hb.blocks_of(f"<article><p>a</p><{tag} class='i'/><p>rest of it</p></article><p>end</p>")]
+    never = [b.text for b in hb.blocks_of(f"<article><p>a</p><{tag}><p>rest</p></article><p>end</p>")]
+    assert closed == ["a", "inside", "rest"] and empty == ["a", "rest of it", "end"] and never == ["a", "rest", "end"]
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "textarea", "title", "iframe"])
+def test_raw_elements_hold_no_text(tag):
+    assert [b.text for b in hb.blocks_of(f"<p>a</p><{tag} x='>'>var t = '<p>no</p>';</{tag} ><p>b</p>")] == ["a", "b"]
+    assert [b.text for b in hb.blocks_of(f"<p>a</p><{tag}/><p>b</p>")] == ["a", "b"]
+    assert [b.text for b in hb.blocks_of(f"<div><p>a</p><{tag}>no <b>no</b></div><p>b</p>")] == ["a", "b"]
+    assert [b.text for b in hb.blocks_of(f"<div><{tag}>no</div>" * 3 + "<p>b</p>")] == ["b"]
+
+
+def test_a_page_of_many_blocks_is_labelled_in_bounded_memory(model):
+    import tracemalloc
+    short = [hb.Block(("html", "body", "article", "p"), f"Satz {k} steht hier.", 0) for k in range(2_000)]
+    want = hb.label([short], model)[0]
+    x, mask = hb._padded([hb.features(short)])
+    assert (want == (hb._logits(x.astype(np.float32), mask, model)[0][0] > 0)).all()
+    page = "<html><body><article>" + "".join(f"<p>Satz {k} steht hier.</p>" for k in range(300_000)) + "</article></body></html>"
+    blocks = hb.blocks_of(page)
+    tracemalloc.start()
+    got = hb.label([blocks], model)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 300_000 and got.mean() > 0.99 and peak < 600e6

@@ -218,6 +218,185 @@ def test_empty_benchmark(spark):
     assert decontaminate.clean(documents(spark), none).count() == len(texts())
 
 
+def plain_window(equal, least: int) -> int:
+    """Most equal words of a window of the least number and share, 0 without one."""
+    n = len(equal)
+    return max((e for a in range(n) for b in range(a + 1, n + 1) if (e := int(sum(equal[a:b]))) >= least and 4 * e >= 3 * (b - a)), default=0)
+
+
+def test_best_window_against_all_windows():
+    rng = np.random.default_rng(3)
+    found = 0
+    for k in range(600):
+        equal = rng.random(rng.integers(1, 60)) < (0.55, 0.7, 0.85)[k % 3]
+        least = int(rng.integers(1, 14))
+        got, want = decontaminate.best_window(equal, least), plain_window(equal.tolist(), least)
+        assert (got[0] if got else 0) == want
+        if got:
+            e, n, at = got
+            assert equal[at] and equal[at + n - 1] and e == equal[at:at + n].sum() and 4 * e >= 3 * n
+            found += 1
+    assert 100 < found < 600
+
+
+def test_masks_hit_every_window_of_twelve_to_twenty_words():
+    for n in range(12, 21):
+        gone = np.array(list(itertools.combinations(range(n), n - max(12, -(-3 * n // 4)))), np.int64).reshape(-1, n - max(12, -(-3 * n // 4)))
+        patterns = np.ones((len(gone), n), bool)
+        patterns[np.arange(len(gone))[:, None], gone] = False
+        hit = np.zeros(len(gone), bool)
+        for mask in decontaminate.MASKS:
+            ones = np.array([c == "1" for c in mask])
+            for at in range(n - len(mask) + 1):
+                hit |= patterns[:, at:at + len(mask)][:, ones].all(axis=1)
+        assert hit.all()
+
+
+def test_overlaps_against_all_alignments(spark):
+    """Every alignment of every text with every item, every window of it; an overlap does not vanish when it goes on with more changes."""
+    rng = random.Random(5)
+    items = [(k, prose(800 + k, 15 * (1 + k % 4))) for k in range(12)] + [(20, "vier kurze worte hier")]
+    rows = []
+    for n in range(90):
+        words = prose(800 + n % 12, 15 * (1 + n % 12 % 4)).split()
+        for p in range(len(words)):
+            if rng.random() < (0.15, 0.22, 0.28, 0.35)[n % 4]:
+                words[p] = f"x{p}q{n}"
+        rows.append((n, " ".join([prose(n + 5000, 5), *words, prose(n + 9000, 5)])))
+    whole = [f"wort{k}" for k in range(49)]
+    thrice = [w if c == "1" else f"neu{k}" for k, (w, c) in enumerate(zip(whole, "00".join(["111011101110111"] * 3)))]
+    items.append((30, " ".join(whole)))
+    rows += [(200, " ".join(thrice[:15])), (201, " ".join(thrice)), (202, "und vier kurze worte hier")]
+    want = set()
+    for d, text in rows:
+        t = decontaminate.words_of(text)
+        for i, item in items:
+            w = decontaminate.words_of(item)
+            for shift in range(-len(w) + 1, len(t)):
+                equal = [w[k] == t[k + shift] for k in range(len(w)) if 0 <= k + shift < len(t)]
+                if sum(equal) >= min(12, len(w)) and plain_window(equal, min(12, len(w))):
+                    want.add((d, i))
+    got = decontaminate.contaminated(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+    assert {(200, 30), (201, 30), (202, 20)} <= want and 30 < len(want) < 93
+
+
+# ---------------------------------------------------------------- language-model scoring
+
+def test_losses_against_counting(spark):
+    rows = [(i, t) for i, t in {i: t for i, t in texts() if i != 22}.items() if i is not None]
+    good = {10, 12, 18, 24, 30}
+    got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(
+        documents(spark, rows), spark.createDataFrame([(i,) for i in [*good, 10, None, 777]], "doc_id long"), shards=3).collect()}
+    words = {i: decontaminate.words_of(t or "") for i, t in rows}
+    single, double = [Counter(), Counter()], [Counter(), Counter()]
+    for i, w in words.items():
+        for k in (0, 1) if i in good else (0,):
+            single[k].update(w)
+            double[k].update(zip(w, w[1:]))
+    rare = {w for w, c in single[0].items() if c < 2}
+    for i, w in words.items():
+        assert got[i]["n_words"] == len(w) and got[i]["is_target"] == (i in good)
+        if not w:
+            assert got[i]["score"] is None
+            continue
+        own, pairs, losses = Counter(w), Counter(zip(w, w[1:])), []
+        for k in (1, 0):
+            mine = 1 if k == 0 or i in good else 0
+            unknown = sum(single[k][x] for x in rare) - mine * sum(x in rare for x in w)
+            total, loss = sum(single[k].values()) - mine * len(w), 0.0
+            for at, x in enumerate(w):
+                count = unknown if x in rare else single[k][x] - mine * own[x]
+                p = (count + 1) / (total + len(single[0]) - len(rare) + 1)
+                if at and x not in rare and w[at - 1] not in rare and (b := single[k][w[at - 1]] - mine * own[w[at - 1]]) > 0:
+                    p = 0.7 * (double[k][w[at - 1], x] - mine * pairs[w[at - 1], x]) / b + 0.3 * p
+                loss -= math.log(p)
+            losses.append(loss / len(w))
+        assert got[i]["loss_target"] == pytest.approx(losses[0], abs=1e-9) and got[i]["loss_background"] == pytest.approx(losses[1], abs=1e-9)
+        assert got[i]["score"] == pytest.approx(losses[0] - losses[1], abs=1e-9)
+
+
+def test_score_prefers_the_target_kind(spark):
+    rng = random.Random(2)
+    kinds = (WORDS[:32], WORDS[32:])
+    rows = [(i, " ".join(rng.choice(kinds[i % 2]) for _ in range(60))) for i in range(80)]
+    ids = spark.createDataFrame([(i,) for i in range(0, 40, 2)], "doc_id long")
+    got = {r["doc_id"]: r["score"] for r in lm_score.cross_entropy_difference(documents(spark, rows), ids).collect()}
+    assert max(got[i] for i in range(40, 80, 2)) < min(got[i] for i in range(41, 80, 2))
+    assert lm_score.cross_entropy_difference(documents(spark).limit(0), ids).count() == 0
+    assert lm_score.cross_entropy_difference(documents(spark), ids.limit(0)).count() == len(texts())
+
+
+# ---------------------------------------------------------------- token files
+
+def test_token_files_round_trip(spark):
+    rows = sorted({i: t for i, t in texts() if i is not None}.items())
+    tokenizer = Tokenizer.from_file(BPE)
+    got = {r["doc_id"]: tuple(r)[1:] for r in token_files.round_trip(documents(spark, rows), BPE).collect()}
+    start = 0
+    for i, t in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_token_files_keep_every_row(spark, tmp_path):
+    made = token_files.write_token_files(documents(spark), BPE, f"file://{tmp_path}")
+    read = token_files.read_token_files(made).collect()
+    assert Counter(r["doc_id"] for r in read) == Counter(i for i, _ in texts())
+    assert sum(r["n_tokens"] for r in read) == sum(p.stat().st_size for p in tmp_path.glob("*.bin")) // 2
+    assert sorted(r["start"] for r in read)[0] == 0 and len({r["start"] for r in read}) == len(read)
+    assert token_files.round_trip(documents(spark).limit(0), BPE).count() == 0
+
+
+def test_chunks_encode_like_whole_texts():
+    rng = random.Random(4)
+    parts = ["a", "the", " ", "  ", "\n", "\t", "'s", "I'll", "12", "é", " ", "　", "\x1c", ".", "!!", "日本", "😀", "\r\n", "word", " x"]
+    sample = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [" ", "", " a", "a ", "\n a"]
+    coder, plain = token_files.Encoder(BPE), Tokenizer.from_file(BPE)
+    assert [np.frombuffer(b, "<u2").tolist() for b in coder.encode(sample)] == [e.ids for e in plain.encode_batch(sample, add_special_tokens=False)]
+
+
+# ---------------------------------------------------------------- decontamination
+
+def test_overlaps_survive_substitutions(spark):
+    items = [(k, prose(700 + k, 18 + k)) for k in range(8)] + [(50, "kurz ist das"), (51, None), (52, ""), (None, "nicht benannt"), (0, prose(700, 18))]
+    rng = random.Random(1)
+    rows, want = [], set()
+    for n in range(60):
+        k = n % 8
+        words = prose(700 + k, 18 + k).split()
+        if n % 3:
+            for p in rng.sample(range(len(words)), len(words) // (9 if n % 3 == 1 else 7)):
+                words[p] = f"q{p}{n}"
+        rows.append((n, prose(n + 5000, 40) + " " + " ".join(words) + " " + prose(n + 9000, 40)))
+        want.add((n, k))
+    rows += [(100 + k, prose(4000 + k, 200)) for k in range(40)] + [(200, "und KURZ, ist! das"), (201, "kurz ist"), (202, None), (203, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(spark, rows)
+    got = decontaminate.contaminated(docs, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want | {(200, 50)}
+    assert len(got) == len(want) + 1 and all(r["share"] >= 0.75 for r in got)
+    kept = decontaminate.clean(docs, benchmark)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {d for d, _ in want} - {200}
+
+
+def test_blocks_of_the_benchmark_find_the_same(spark, monkeypatch):
+    items = spark.createDataFrame([(k, prose(700 + k, 20)) for k in range(30)], "item_id long, text string")
+    rows = documents(spark, [(n, prose(n, 9) + " " + prose(700 + n % 40, 20)) for n in range(60)])
+    pairs = lambda: {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(rows, items).collect()}
+    one = pairs()
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)
+    assert pairs() == one and len(one) == 50
+    assert decontaminate.clean(rows, items).count() == 10
+
+
+def test_empty_benchmark(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contaminated(documents(spark), none).count() == 0
+    assert decontaminate.clean(documents(spark), none).count() == len(texts())
+
+
 def test_best_segment_against_all_segments():
     rng = np.random.default_rng(3)
     for _ in range(200):

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saccadia.session import ensure_checkpoint_dir, stage
 
-__all__ = ["WordHashes", "each_group", "ensure_checkpoint_dir", "mix64", "stage", "text_or_empty", "to_hex", "whole_groups"]
+__all__ = ["WordHashes", "by_bytes", "each_group", "ensure_checkpoint_dir", "mix64", "release_memory", "stage", "text_or_empty", "to_hex", "whole_groups"]
 
 #: Words kept by a worker with their hashes; the table is emptied when it is full.
 HASH_TABLE_WORDS = 500_000
@@ -60,6 +64,25 @@ def each_group(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table
             yield table.slice(a, b - a)
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes in a string column, one row at least."""
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    piece = np.concatenate(([0], np.cumsum(sizes)[:-1])) // most
+    cuts = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
+def release_memory() -> None:
+    """Give memory that Arrow and the C library hold in reserve back to the system; workers are used again by other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads every input bit over the 64 output bits."""
     x = x.astype(np.uint64, copy=True)

@@ -24,11 +24,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import by_bytes, release_memory, text_or_empty
 
 MARK = "▁"
 #: Words and pairs that a worker remembers; a full table starts anew.
 REMEMBERED = 600_000
+#: Bytes of text whose ids are held at a time; a longer text is held alone.
+BYTES_AT_ONCE = 4_000_000
 
 
 class Codec:
@@ -203,26 +205,32 @@ def _digest(coder: Codec, ids: list[int]) -> tuple:
 def encode(docs: DataFrame, model_file: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, [ids,] n_tokens, ids_sha256, decoded_sha256) of every text, with the end id and nothing else added.
 
-    NULL texts are empty and have the end id only. Repeated rows stay; other columns are ignored.
+    NULL texts are empty and have the end id only. Texts are read whole, however long. Repeated rows stay; other columns are
+    ignored.
     """
     schema = "doc_id long, " + "ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
+    def rows(coder: Codec, doc_ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        digests, held = [], []
+        for text in texts:
+            ids = coder.encode(text.as_py())
+            ids.append(coder.end)
+            digests.append(_digest(coder, ids))
+            if with_ids:
+                held.append(np.array(ids, np.int32))
+        columns, names = [doc_ids], ["doc_id"]
+        if with_ids:
+            ends = np.concatenate(([0], np.cumsum([len(h) for h in held])))
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(held) if held else [], pa.int32())))
+            names.append("ids")
+        columns += [pa.array([d[k] for d in digests], pa.string() if k else pa.int64()) for k in range(3)]
+        return pa.RecordBatch.from_arrays(columns, [*names, "n_tokens", "ids_sha256", "decoded_sha256"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()  # of tasks that this worker did before
         coder = codec(model_file)
         for batch in batches:
-            digests, held = [], []
-            for text in batch.column(1):
-                ids = coder.encode(text.as_py())
-                ids.append(coder.end)
-                digests.append(_digest(coder, ids))
-                if with_ids:
-                    held.append(np.array(ids, np.int32))
-            columns, names = [batch.column(0)], ["doc_id"]
-            if with_ids:
-                ends = np.concatenate(([0], np.cumsum([len(h) for h in held])))
-                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(held) if held else [], pa.int32())))
-                names.append("ids")
-            columns += [pa.array([d[k] for d in digests], pa.string() if k else pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part in by_bytes(batch, 1, BYTES_AT_ONCE):
+                yield rows(coder, part.column(0), part.column(1))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)

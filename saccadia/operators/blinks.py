@@ -3,38 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from saccadia import schemas as S
-from saccadia.operators.scan import DEFAULT_CHUNK, order_key, running_max, scan, sum_before
+from saccadia.operators.scan import DEFAULT_CHUNK, Segments, order_key, running_max, scan
 
 
-def segment_number() -> dict:
-    """Scan item that numbers the stretches of a trial that end with an ESACC."""
-    return {"_segment": sum_before(F.when(F.col("event") == "ESACC", 1).otherwise(0))}
+def saccade_segments(axis: str, tie: str) -> Segments:
+    """Over each stretch of a trial up to an ESACC: is it closed, its first SSACC, its last SBLINK and EBLINK."""
+    event, key = F.col("event"), order_key(axis, [tie])
+    of = lambda name: F.when(event == name, key)
+    return Segments(event == "ESACC", {"_closed": (F.max, F.when(event == "ESACC", 1)), "_from": (F.min, of("SSACC")),
+                                       "_s": (F.max, of("SBLINK")), "_e": (F.max, of("EBLINK"))})
 
 
-def drop_blinked_spans(numbered: DataFrame, axis: str, tie: str) -> DataFrame:
-    """Drop rows from the first SSACC to the ESACC of a segment that has SBLINK and EBLINK in between.
+def drop_blinked_spans(scanned: DataFrame, axis: str, tie: str) -> DataFrame:
+    """Drop rows from the first SSACC to the ESACC of a stretch that has SBLINK and EBLINK in between.
 
-    Needs the column of ``segment_number``. A segment is the rows between two saccades, so it is a window of its own and the
-    scanned rows are read once.
+    Needs the columns of ``saccade_segments``.
     """
-    event, key = F.col("event"), order_key(axis, [tie])
-    by = [*S.trial_of(numbered), "_segment"]
-
-    def keys_of(name: str):
-        return F.when(event == name, key)
-
-    inside = W.partitionBy(*by)
-    marked = numbered.withColumns({
-        "_closed": F.max(event == "ESACC").over(inside), "_from": F.min(keys_of("SSACC")).over(inside),
-        "_s": F.max(keys_of("SBLINK")).over(inside), "_e": F.max(keys_of("EBLINK")).over(inside)})
-    blinked = F.col("_closed") & (F.col("_s") > F.col("_from")) & (F.col("_e") > F.col("_from")) & (key >= F.col("_from"))
-    for c in by:
+    key = order_key(axis, [tie])
+    blinked = (F.col("_closed").isNotNull() & (F.col("_s") > F.col("_from")) & (F.col("_e") > F.col("_from")) & (key >= F.col("_from")))
+    for c in S.trial_of(scanned):
         blinked = blinked & F.col(c).isNotNull()
-    return marked.where(~F.coalesce(blinked, F.lit(False))).drop("_closed", "_from", "_s", "_e", "_segment")
+    return scanned.where(~F.coalesce(blinked, F.lit(False))).drop("_closed", "_from", "_s", "_e")
 
 
 def drop_blink_saccades(events: DataFrame, axis: str = "time", tie: str = "seq", mode: str = "scan",
@@ -45,7 +37,7 @@ def drop_blink_saccades(events: DataFrame, axis: str = "time", tie: str = "seq",
     eye overlaps its interval.
     """
     if mode == "scan":
-        kept = drop_blinked_spans(scan(events, S.trial_of(events), axis, [tie], segment_number(), width=width), axis, tie)
+        kept = drop_blinked_spans(scan(events, S.trial_of(events), axis, [tie], {}, width=width, segments=saccade_segments(axis, tie)), axis, tie)
     elif mode == "overlap":
         kept = _without_overlapped(events, tie, width)
     else:

@@ -1,8 +1,7 @@
 """Event and sample preparation per experiment.
 
 Each pipeline collects what it needs from the ordered trial - fills, clock origin, stimulus state, validity counts and
-saccade segments - into one scan. Its rows and its chunk table come from the same shuffle key; blink removal adds a window per
-segment and the change of the onset a second scan.
+saccade segments - into one scan, whose rows are shuffled once; the change of the onset takes a second one.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from saccadia import schemas as S
 from saccadia.functions.scalars import cast_columns
 from saccadia.operators import clean, fills
-from saccadia.operators.blinks import drop_blink_saccades, drop_blinked_spans, segment_number
+from saccadia.operators.blinks import drop_blink_saccades, drop_blinked_spans, saccade_segments
 from saccadia.operators.scan import DEFAULT_CHUNK, following, last, scan, total
 
 
@@ -75,10 +74,10 @@ def preprocess_events(events: DataFrame, experiment: str, tie: str = "seq", widt
     if recipe.has_stimulus:
         items |= fills.active_item(experiment, tie=tie)
     items["_t0"] = total(F.min, F.when(F.col("event") != "TRIALID", F.col("time")))
-    items |= segment_number() if blink_mode == "scan" else {}
     items |= {f"_n_{n}": total(F.sum, F.col(f"_r_{n}")) for n in rules}
 
-    df = scan(df, S.trial_of(df), "time", [tie], items, width=width)
+    df = scan(df, S.trial_of(df), "time", [tie], items, width=width,
+              segments=saccade_segments("time", tie) if blink_mode == "scan" else None)
     for n, (_, low, high) in rules.items():
         df = df.where(clean.rule_holds(F.col(f"_n_{n}"), low, high))
     if recipe.has_stimulus:

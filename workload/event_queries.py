@@ -29,9 +29,12 @@ def register(name: str, sql: str | None = None):
 
 
 def rounded_doubles(df: DataFrame, factor: float | None = None, digits: int = 6) -> DataFrame:
-    """Doubles rounded for comparison; adding zero turns a negative zero into zero."""
+    """Doubles rounded for comparison; adding zero turns a negative zero into zero.
+
+    The first rounding takes off what the order of a sum adds, so that a half is rounded alike everywhere.
+    """
     kinds = dict(df.dtypes)
-    return df.select(*[(F.round(F.col(c) * factor if factor else F.col(c), digits) + F.lit(0.0)).alias(c)
+    return df.select(*[(F.round(F.round(F.col(c) * factor if factor else F.col(c), digits + 5), digits) + F.lit(0.0)).alias(c)
                        if kinds[c] == "double" else F.col(c) for c in df.columns])
 
 

@@ -214,12 +214,48 @@ def _two_sided_t(t: Column, freedom: Column) -> Column:
     return tail(t, freedom)
 
 
-def mann_whitney(long: DataFrame, parts: int | None = None) -> DataFrame:
+#: Exact p-values are meant for small groups: up to this many members of the smaller one with ``method='auto'``.
+EXACT_GROUP = 8
+
+
+def _two_sided_exact(u: Column, n0: Column, n1: Column) -> Column:
+    """Share of the arrangements of two untied groups whose U is at least as far from the middle, by the counting recursion:
+    the largest value belongs to one group, which adds the size of the other to U, or to the other group, which adds nothing."""
+    @F.pandas_udf("double")
+    def share(us: pd.Series, n0s: pd.Series, n1s: pd.Series) -> pd.Series:
+        def arrangements(a: int, b: int) -> list[int]:
+            # row[j] counts the values of U over j members of the second group; one more member of the first per round
+            row = [[1]] * (b + 1)
+            for i in range(1, a + 1):
+                new = [[1]]
+                for j in range(1, b + 1):
+                    counts = [0] * (i * j + 1)
+                    for k, c in enumerate(row[j]):
+                        counts[k + j] += c
+                    for k, c in enumerate(new[j - 1]):
+                        counts[k] += c
+                    new.append(counts)
+                row = new
+            return row[b]
+
+        def one(u: float, a: int, b: int) -> float:
+            counts = arrangements(min(a, b), max(a, b))
+            return min(1.0, 2 * sum(counts[math.ceil(max(u, a * b - u)):]) / math.comb(a + b, a))
+
+        return pd.Series([one(u, int(a), int(b)) if u == u and u is not None and a > 0 and b > 0 else None for u, a, b in zip(us, n0s, n1s)], dtype=float)
+
+    return share(u, n0, n1)
+
+
+def mann_whitney(long: DataFrame, parts: int | None = None, method: str = "asymptotic") -> DataFrame:
     """U of the controls (y = 0) against the patients (y = 1) per feature, with group means and population stds.
 
-    Two-sided p by the normal approximation with tie and continuity correction. Equal values are counted first; the
-    number of smaller patient values then is a running sum in value order.
+    Two-sided p: ``asymptotic`` is the normal approximation with tie and continuity correction, ``exact`` counts all
+    arrangements as if no values were tied, ``auto`` is exact where no values are tied and a group has EXACT_GROUP members or
+    fewer. Equal values are counted first; the number of smaller patient values then is a running sum in value order.
     """
+    if method not in ("asymptotic", "exact", "auto"):
+        raise ValueError(f"unknown method {method!r}")
     control, patient, value = F.col("y") == 0, F.col("y") == 1, F.col("value")
     groups = long.groupBy("feature").agg(
         F.avg(F.when(control, value)).alias("mean_control"), F.avg(F.when(patient, value)).alias("mean_patient"),
@@ -236,8 +272,14 @@ def mann_whitney(long: DataFrame, parts: int | None = None) -> DataFrame:
     n, half = (n0 + n1).cast("double"), n0 * n1 / 2
     sigma = F.sqrt(F.try_divide(n0 * n1, F.lit(12)) * (n + 1 - F.try_divide(F.col("_ties"), n * (n - 1))))
     z = F.try_divide(F.greatest(F.col("U_value"), n0 * n1 - F.col("U_value")) - half - 0.5, sigma)
+    p = _two_sided_normal(F.col("z"))
+    if method != "asymptotic":
+        exactly = F.lit(True) if method == "exact" else (F.col("_ties") == 0) & (F.least(n0, n1) <= EXACT_GROUP)
+        # a NULL instead of U keeps the recursion from rows that do not ask for it
+        exact = _two_sided_exact(F.when(exactly, F.col("U_value")), n0, n1)
+        p = exact if method == "exact" else F.when(exactly, exact).otherwise(p)
     return (ranks.withColumn("z", z).join(groups, "feature")
-            .select("feature", "U_value", "n_control", "n_patient", "z", _two_sided_normal(F.col("z")).alias("p_value"),
+            .select("feature", "U_value", "n_control", "n_patient", "z", p.alias("p_value"),
                     "mean_control", "mean_patient", "std_control", "std_patient"))
 
 
@@ -252,8 +294,8 @@ def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05, p: str = "p_value"
             .withColumn("is_significant", F.col("p_value_corrected") <= alpha))
 
 
-def significant_features(long: DataFrame, alpha: float = 0.05) -> DataFrame:
-    return benjamini_hochberg(mann_whitney(long), alpha).where("is_significant").orderBy("p_value", "feature")
+def significant_features(long: DataFrame, alpha: float = 0.05, method: str = "asymptotic") -> DataFrame:
+    return benjamini_hochberg(mann_whitney(long, method=method), alpha).where("is_significant").orderBy("p_value", "feature")
 
 
 def t_test(long: DataFrame) -> DataFrame:

@@ -185,10 +185,10 @@ u as (select *, r0 - n0 * (n0 + 1) / 2 as uv from tested join ties using (featur
 TAIL = """case when z is null then null when z <= 0 then 1.0 else 1 - 2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(0, 400), lambda i:
  exp(i * ln(2.0) + (2 * i + 1) * ln(z / sqrt(2.0)) - (lgamma(2.0 * i + 2) - i * ln(2.0) - lgamma(i + 1.0))))) end"""
 MANN = f"""
-select *, round({TAIL}, 6) + 0.0::double as p_value from ("""+"""
+select * replace (round(z, 6) as z), round({TAIL}, 6) + 0.0::double as p_value from ("""+"""
 select feature, round(uv, 6) as U_value, n0 as n_control, n1 as n_patient,
- round((greatest(uv, n0 * n1 - uv) - n0 * n1 / 2 - 0.5) / nullif(sqrt(n0 * n1 / 12 * (n0 + n1 + 1 - tie / ((n0 + n1)
-  * (n0 + n1 - 1)))), 0), 6) as z, round(m0, 6) as mean_control, round(m1, 6) as mean_patient, round(s0, 6) as std_control,
+ (greatest(uv, n0 * n1 - uv) - n0 * n1 / 2 - 0.5) / nullif(sqrt(n0 * n1 / 12 * (n0 + n1 + 1 - tie / ((n0 + n1)
+  * (n0 + n1 - 1)))), 0) as z, round(m0, 6) as mean_control, round(m1, 6) as mean_patient, round(s0, 6) as std_control,
  round(s1, 6) as std_patient from u) t"""
 
 

@@ -18,27 +18,30 @@ _BRACKET = (0.4995, 0.5005)
 
 def exact_medians(df: DataFrame, by: Sequence[str], metrics: dict[str, Column], outputs: dict[str, str] | None = None,
                   extra: Sequence[Column] = ()) -> DataFrame:
-    """Exact median of every metric per group, plus the ``extra`` aggregates.
+    """Exact median per group of every metric (of those named in ``outputs``, if given), plus the ``extra`` aggregates.
 
     First pass: a mergeable quantile sketch per group gives a narrow bracket around the median. Second pass: values
     below the bracket are only counted, values inside it are counted by value, and the middle ranks are read off.
     """
     by, names = list(by), list(metrics)
-    outputs = outputs or {n: f"{n}_median" for n in names}
+    outputs = {n: f"{n}_median" for n in names} if outputs is None else outputs
     values = df.select(*by, *[m.alias(f"_m{i}") for i, m in enumerate(metrics.values())])
+    wanted = [i for i, n in enumerate(names) if n in outputs]
     sketches = []
-    for i in range(len(names)):
+    for i in wanted:
         sketches += [F.count(f"_m{i}").alias(f"_n{i}"),
                      F.percentile_approx(f"_m{i}", list(_BRACKET), _ACCURACY).alias(f"_b{i}")]
     # ``extra`` aggregates refer to metric i as column _m{i}.
     groups = values.groupBy(*by).agg(*extra, *sketches)
-    sketched = [f"_b{i}" for i in range(len(names))]
+    if not wanted:
+        return groups
+    sketched = [f"_b{i}" for i in wanted]
     carried = [c for c in groups.columns if c not in by and c not in sketched]
 
     # The group's own numbers ride along, so that the groups are computed once.
     located = values.join(groups, by)
     entries = []
-    for i in range(len(names)):
+    for i in wanted:
         value, low, high = F.col(f"_m{i}"), F.col(f"_b{i}")[0], F.col(f"_b{i}")[1]
         entries.append(F.when(value <= high, F.struct(
             F.lit(i).alias("_i"), F.when(value >= low, value.cast("double")).alias("_v"),
@@ -50,7 +53,7 @@ def exact_medians(df: DataFrame, by: Sequence[str], metrics: dict[str, Column],
     ranked = counted.withColumn("_upto", F.sum("_count").over(upto))
     lower, upper = F.floor((F.col("_of") + 1) / 2), F.floor((F.col("_of") + 2) / 2)
     picked = [F.max(c).alias(c) for c in carried]
-    for i in range(len(names)):
+    for i in wanted:
         mine = F.col("_i") == i
         picked += [F.min(F.when(mine & (F.col("_upto") >= lower), F.col("_v"))).alias(f"_lo{i}"),
                    F.min(F.when(mine & (F.col("_upto") >= upper), F.col("_v"))).alias(f"_hi{i}"),
@@ -63,8 +66,8 @@ def exact_medians(df: DataFrame, by: Sequence[str], metrics: dict[str, Column],
         return (F.when(outside, F.raise_error(F.lit("median outside its bracket")).cast("double"))
                 .otherwise((F.col(f"_lo{i}") + F.col(f"_hi{i}")) / 2))
 
-    kept = [c for c in carried if c not in {f"_n{i}" for i in range(len(names))}]
-    return middles.select(*by, *kept, *[median(i).alias(outputs[n]) for i, n in enumerate(names)])
+    kept = [c for c in carried if c not in {f"_n{i}" for i in wanted}]
+    return middles.select(*by, *kept, *[median(i).alias(outputs[names[i]]) for i in wanted])
 
 
 def five_stats(df: DataFrame, by: Sequence[str], metrics: dict[str | tuple[str, str], Column],

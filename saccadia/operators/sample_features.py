@@ -74,17 +74,21 @@ def moving_average(df: DataFrame, by: Sequence[str], axis: str, ties: Sequence[s
     return counted.select(*df.columns, *[averaged(v).alias(f"{v}_avg") for v in values])
 
 
+def smoothed_differences(samples: DataFrame, rows: int = 5, width: int = DEFAULT_CHUNK) -> DataFrame:
+    """Differences of the eye positions where both are known, smoothed over all trials of a participant: dx_avg, dy_avg."""
+    both = samples.dropna(subset=["x_left", "x_right", "y_left", "y_right"]).select(
+        *PARTICIPANT, "trial_id", "time", "seq", (F.col("x_left") - F.col("x_right")).alias("dx"),
+        (F.col("y_left") - F.col("y_right")).alias("dy"))
+    return moving_average(both, PARTICIPANT, "trial_id", ["time", "seq"], ["dx", "dy"], rows,
+                          chunk=F.struct("trial_id", time_chunk("time", width).alias("t")))
+
+
 def disconjugacy(samples: DataFrame, rows: int = 5, keep_all: bool = True, width: int = DEFAULT_CHUNK) -> DataFrame:
     """Mean squared difference of the smoothed eye positions; NULL without any sample that has both eyes.
 
     Smoothing runs over all trials of a participant. It is linear, so the differences are smoothed.
     """
-    both = samples.dropna(subset=["x_left", "x_right", "y_left", "y_right"]).select(
-        *PARTICIPANT, "trial_id", "time", "seq", (F.col("x_left") - F.col("x_right")).alias("dx"),
-        (F.col("y_left") - F.col("y_right")).alias("dy"))
-    smooth = moving_average(both, PARTICIPANT, "trial_id", ["time", "seq"], ["dx", "dy"], rows,
-                            chunk=F.struct("trial_id", time_chunk("time", width).alias("t")))
-    result = smooth.groupBy(*PARTICIPANT).agg(
+    result = smoothed_differences(samples, rows, width).groupBy(*PARTICIPANT).agg(
         (F.avg(F.col("dx_avg") * F.col("dx_avg")) + F.avg(F.col("dy_avg") * F.col("dy_avg"))).alias("Var_total"))
     return samples.select(*PARTICIPANT).distinct().join(result, PARTICIPANT, "left") if keep_all else result
 

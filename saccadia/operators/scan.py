@@ -66,6 +66,13 @@ def last(value: Column) -> Item:
                 lambda w, c: F.coalesce(F.last(value, True).over(w.upto), c))
 
 
+def last_before(value: Column) -> Item:
+    """Last non-null value before the row."""
+    return Item(lambda key: F.max_by(value, F.when(value.isNotNull(), key)),
+                lambda w, p: F.last(p, True).over(w.before),
+                lambda w, c: F.coalesce(F.last(value, True).over(w.before), c))
+
+
 def following(value: Column) -> Item:
     """First non-null value at or after the row (backward fill)."""
     return Item(lambda key: F.min_by(value, F.when(value.isNotNull(), key)),

@@ -56,4 +56,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    delete_at_end(spark, path.rpartition("/")[0])
     return spark.read.parquet(path)
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver's JVM ends; until then a lost executor can read it again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -394,13 +394,17 @@ def per_day(df: DataFrame) -> DataFrame:
     return rounded_doubles(df, 86400)
 
 
-@register("precalc_metrics", query(ctes.prepared("SHAPES"), f"""
+def precalculated_sql(experiment: str) -> str:
+    return query(ctes.prepared(experiment), f"""
 select {KEYS}, {five('peak_velocity', "case when event = 'ESACC' then peak_velocity end", 'sacc')},
  {five('amplitude', "case when event = 'ESACC' then amplitude end", 'sacc')},
  {five('duration', "case when event = 'ESACC' then duration end", 'sacc')},
  {five('duration', "case when event = 'EFIX' then duration end", 'fix')},
  {five('avg_pupil_size', "case when event = 'EFIX' then avg_pupil_size end", 'fix')}
- from prep where event in ('ESACC', 'EFIX') group by all"""))
+ from prep where event in ('ESACC', 'EFIX') group by all""")
+
+
+@register("precalc_metrics", precalculated_sql("SHAPES"))
 def precalc_metrics(spark, sf):
     return rounded_doubles(event_features.precalculated_metrics(ready(spark, sf, "SHAPES")))
 
@@ -416,20 +420,20 @@ def mean_metrics_right(spark, sf):
     return rounded_doubles(event_features.mean_metrics(ready(spark, sf, "SHAPES"), "R"))
 
 
-def _distance_sql(active: str) -> str:
-    return query(ctes.prepared("SHAPES") + f""",
+def distance_sql(active: str, experiment: str = "SHAPES") -> str:
+    return query(ctes.prepared(experiment) + f""",
 moves as (select *, x - lag(x) over w as dx, y - lag(y) over w as dy from prep where event = 'EFIX'{active}
  window w as (partition by participant_id, trial_id, eye order by time, seq))""", f"""
 select {KEYS}, {five('fixation_distance', 'sqrt(dx * dx + dy * dy)')}, {five('x_fixation_dist', 'dx')},
  {five('y_fixation_dist', 'dy')} from moves group by all""")
 
 
-@register("fix_distance", _distance_sql(" and stimulus_active"))
+@register("fix_distance", distance_sql(" and stimulus_active"))
 def fix_distance(spark, sf):
     return rounded_doubles(event_features.fixation_distance(ready(spark, sf, "SHAPES"), width=CHUNK))
 
 
-@register("fix_distance_all", _distance_sql(""))
+@register("fix_distance_all", distance_sql(""))
 def fix_distance_all(spark, sf):
     return rounded_doubles(event_features.fixation_distance(ready(spark, sf, "SHAPES"), False, width=CHUNK))
 

@@ -211,13 +211,6 @@ def assign_trials_overlap(spark, sf):
     return joins.assign_trials(rows.select("seq", "participant_id", "time"), spans, width=2000).drop("time")
 
 
-@register("shapes_features")
-def shapes_features(spark, sf):
-    """All SHAPES features side by side; events and samples are those of the participants both tables have."""
-    return experiment_features("SHAPES", inputs.prepared_events(spark, sf, "SHAPES"), samples(spark, sf), width=inputs.CHUNK,
-                               tolerance=inputs.DAY)
-
-
 PARTS = ["precalc_metrics", "fix_distance", "acceleration", "disconjugacy"]
 
 

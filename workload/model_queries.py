@@ -167,22 +167,89 @@ def best_per_k(spark, sf):
 
 # --- models (rows only) ----------------------------------------------------------------------------------------------
 
-@register("pca2")
+#: Centred points, their covariances as a list of rows, and its powers by repeated squaring: what is left of the power is the
+#: projector on the largest component, sign-free. The same of the rest gives the second one.
+
+
+def _projector(name: str, source: str) -> str:
+    return f""",
+{name}_powers as (with recursive s as (
+ select 0 as k, m from {source}
+ union all select k + 1, list_transform(sq, lambda r: list_transform(r, lambda x: x / t)) from (
+  select k, sq, list_sum(list_transform(range(1, len(sq) + 1), lambda i: sq[i][i])) as t from (
+   select k, list_transform(m, lambda r: list_transform(m, lambda q: list_dot_product(r, q))) as sq from s where k < 16) a) b)
+ select m from s where k = 16),
+{name} as (select m from {name}_powers)"""
+
+
+CENTRED = EMB + """,
+u as (select vec_id, generate_subscripts(v, 1) as i, unnest(v) as x from p),
+c as (select vec_id, i, x - avg(x) over (partition by i) as x from u),
+points as (select vec_id, list(x order by i) as v from c group by vec_id),
+cov as (select list(r order by i) as m from (select a.i as i, list(s order by j) as r from (
+ select a.i as i, b.i as j, sum(a.x * b.x) as s from c a join c b using (vec_id) group by all) a group by a.i) rows)"""
+FIRST_TWO = CENTRED + _projector("one", "cov") + """,
+lambda1 as (select list_sum(list_transform(range(1, len(cov.m) + 1), lambda i: list_dot_product(cov.m[i], one.m[i]))) as l from cov, one),
+rest as (select list_transform(range(1, len(cov.m) + 1), lambda i: list_transform(range(1, len(cov.m) + 1), lambda j: cov.m[i][j] - l * one.m[i][j])) as m
+ from cov, one, lambda1)""" + _projector("two", "rest")
+
+
+def _share(projector: str) -> str:
+    return f"round(list_dot_product(v, list_transform({projector}.m, lambda r: list_dot_product(r, v))), 4) + 0.0::double"
+
+
+@register("pca2", query(FIRST_TWO, f"select vec_id, {_share('one')} as pc1_squared, {_share('two')} as pc2_squared from points, one, two"))
 def pca2(spark, sf):
+    """Squared scores, because a component has no sign."""
     scores, _ = cluster.principal_components(points(spark, sf).drop("label"), ALL, 2)
-    return scores
+    return rounded_doubles(scores.select("vec_id", *[(F.col(c) * F.col(c)).alias(f"{c}_squared") for c in ("pc1", "pc2")]), digits=4)
 
 
-@register("pca_share")
+@register("pca_share", query(CENTRED, """
+select vec_id, round(list_dot_product(v, v), 4) as squared_length, true as enough, true as ordered, true as uncorrelated from points"""))
 def pca_share(spark, sf):
-    scores, _ = cluster.principal_components(points(spark, sf).drop("label"), ALL, 0.90)
-    return scores
-
-
-@register("lda_axis")
+    """Of all components together each point keeps its length; those of 90 % of the variance are a share of it, by falling
+    variance and without correlation."""
+    rows = points(spark, sf).drop("label")
+    every, shares = cluster.principal_components(rows, ALL, len(ALL))
+    some, of_some = cluster.principal_components(rows, ALL, 0.90)
+    names = [c for c in some.columns if c.startswith("pc")]
+    k = len(names)
+    seen = some.agg(*[F.var_samp(c).alias(c) for c in names], F.covar_samp("pc1", f"pc{k}").alias("across"),
+                    F.corr("pc1", "pc2").alias("r")).first()
+    variances = [seen[c] for c in names]
+    enough = sum(of_some) > 0.90 >= sum(of_some[:-1]) and shares[:k] == of_some
+    ordered = all(a >= b for a, b in zip(variances, variances[1:]))
+    uncorrelated = abs(seen["r"]) < 1e-9 and abs(seen["across"]) < 1e-9
+    length = sum((F.col(f"pc{i + 1}") * F.col(f"pc{i + 1}") for i in range(len(ALL))), F.lit(0.0))
+    return rounded_doubles(every.select("vec_id", length.alias("squared_length"), F.lit(enough).alias("enough"), F.lit(ordered).alias("ordered"),
+                                        F.lit(uncorrelated).alias("uncorrelated")), digits=4)
+
+
+#: The pooled scatter is inverted by Newton's iteration on lists of rows.
+INVERSE = """
+p as (select vec_id, label % 2 as y, cast(embedding as double[]) as v from embeddings),
+u as (select vec_id, y, generate_subscripts(v, 1) as i, unnest(v) as x from p),
+g as (select y, i, avg(x) as m, count(*) as n from u group by all),
+gap as (select list(h.m - l.m order by i) as d, list((l.n * l.m + h.n * h.m) / (l.n + h.n) order by i) as mid
+ from (select * from g where y = 1) h join (select * from g where y = 0) l using (i)),
+c as (select vec_id, i, x - m as x from u join g using (y, i)),
+pooled as (select list(r order by i) as m from (select i, list(s order by j) as r from (
+ select a.i as i, b.i as j, sum(a.x * b.x) / ((select count(*) from p) - 2) as s from c a join c b using (vec_id) group by all) a group by i) rows),
+inverse as (with recursive s as (
+ select 0 as k, list_transform(m, lambda r: list_transform(r, lambda x: x / (b * b))) as x, m from (
+  select m, list_max(list_transform(m, lambda q: list_sum(list_transform(q, lambda z: abs(z))))) as b from pooled) n
+ union all select k + 1, list_transform(x, lambda r: list_transform(range(1, len(m) + 1), lambda j: 2 * r[j] - list_dot_product(r, mx[j]))), m from (
+  select k, x, m, list_transform(x, lambda q: list_transform(m, lambda r: list_dot_product(r, q))) as mx from s where k < 14) a)
+ select x from s where k = 14),
+axis as (select list_transform(x, lambda r: list_dot_product(r, d)) as w from inverse, gap),
+scaled as (select list_transform(w, lambda z: z / sqrt(list_dot_product(w, list_transform(m, lambda r: list_dot_product(r, w))))) as w from axis, pooled)"""
+
+
+@register("lda_axis", query(INVERSE, "select vec_id, y, round(list_dot_product(v, w) - list_dot_product(mid, w), 6) + 0.0::double as lda from p, scaled, gap"))
 def lda_axis(spark, sf):
     rows = points(spark, sf).withColumn("y", F.col("label") % 2)
-    return cluster.discriminant_axis(rows, ALL)[0].select("vec_id", "y", "lda")
+    return rounded_doubles(cluster.discriminant_axis(rows, ALL)[0].select("vec_id", "y", "lda"))
 
 
 @register("gmm_sweep")

@@ -141,11 +141,26 @@ def collinear_pairs(spark, sf):
     return stats.pairwise_correlation(features(spark, sf), FEATURES).where(F.abs("corr") > 0.85).select("f1", "f2")
 
 
-@register("drop_collinear")
+#: The greedy walk as a recursion: its state is the list of dropped names.
+WALK = ctes.USER_FEATURES + f""",
+strength as (select feature, case when stddev_pop(value) > 1e-9 then abs(corr(value, y)) end as s, var_samp(value) as v from lf group by feature),
+named as (select unnest({FEATURES!r}) as feature, generate_subscripts({FEATURES!r}, 1) as pos),
+ranked as (select feature, row_number() over (order by coalesce(s, -1) desc, coalesce(v, 0) desc, pos) as i from named left join strength using (feature)),
+close as (select f2 as feature, list(f1) as before from (select a.feature as f1, b.feature as f2, corr(a.value, b.value) as r,
+ stddev_pop(a.value) as sa, stddev_pop(b.value) as sb from lf a join lf b on a.participant_id = b.participant_id and a.feature <> b.feature
+ group by all) p where (f1, f2) in ({', '.join(str(p) for p in PAIRS)}) and sa > 1e-9 and sb > 1e-9 and abs(r) > 0.85 group by f2),
+walk as (with recursive w as (
+ select cast(0 as bigint) as i, cast([] as varchar[]) as dropped
+ union all select w.i + 1, case when list_contains(dropped, feature) then dropped
+  else list_distinct(list_concat(dropped, coalesce(before, cast([] as varchar[])))) end
+ from w join ranked r on r.i = w.i + 1 left join close using (feature)) select dropped from w order by i desc limit 1)"""
+
+
+@register("drop_collinear", query(WALK, """
+select participant_id, y, feature, round(value, 6) + 0.0::double as value from lf, walk where not list_contains(dropped, feature)"""))
 def drop_collinear(spark, sf):
-    rows = features(spark, sf)
-    reduced, _ = stats.remove_collinear(rows, FEATURES)
-    return reduced
+    reduced, kept = stats.remove_collinear(features(spark, sf), FEATURES)
+    return rounded_doubles(matrix.long_view(reduced, kept, ["participant_id", "y"]))
 
 
 @register("mad_outliers", query(ctes.USER_FEATURES + """,

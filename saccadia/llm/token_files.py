@@ -17,7 +17,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -33,8 +32,12 @@ REMEMBERED = 600_000
 #: Characters that are cut into chunks at a time.
 CHARS_AT_ONCE = 1_500_000
 
-#: The letters that a chunk starts with, and what follows them.
-_HEAD = regex.compile(r"(\p{L}+)(\P{L}.*)", regex.S)
+#: Marks that end words; none of them is a letter, a digit or white space.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¡¿«»„“”‘’…–—"
+
+
+#: Stands for the ids of a chunk that the space behind it does not end.
+OPEN = False
 
 
 class _Memory(dict):
@@ -42,22 +45,23 @@ class _Memory(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.old: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | bool] = {}
 
     def age(self) -> None:
         if len(self) > REMEMBERED:
             self.old = dict(self)
             self.clear()
 
-    def missing(self, chunks: set[str]) -> list[str]:
-        old = self.old
-        fresh = []
-        for c in chunks.difference(self):
-            if c in old:
-                self[c] = old[c]
+    def fresh(self, chunks: Iterable[str]) -> list[str]:
+        """Those of some chunks, none of them in this generation, that the one before does not know either."""
+        unknown, old = [], self.old
+        for c in dict.fromkeys(chunks):
+            ids = old.get(c)
+            if ids is None:
+                unknown.append(c)
             else:
-                fresh.append(c)
-        return fresh
+                self[c] = ids
+        return unknown
 
 
 class Encoder:
@@ -72,6 +76,7 @@ class Encoder:
         self.chunked = "ByteLevel(add_prefix_space=False" in rule and "use_regex=True" in rule and self.tokenizer.normalizer is None
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.bare, self.spaced = _Memory(), _Memory()
+        self.line_break = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         dtype = f"<u{self.width}"
@@ -98,21 +103,43 @@ class Encoder:
         raw, w = ids.tobytes(), self.width
         return [raw[a * w:b * w] for a, b in zip(starts, ends, strict=True)]
 
-    def _learn(self, memory: _Memory, chunks: set[str], before: str) -> None:
-        """Remember the ids of chunks; None for those that the space after them does not end."""
-        fresh = memory.missing(chunks)
-        open_ = {c for c in fresh if not c or c[-1].isspace()}
+    def _learn(self, memory: _Memory, chunks: Iterable[str], before: str) -> dict[str, bytes]:
+        """Remember the ids of chunks that are not in the memory; OPEN for those that the space after them does not end.
+
+        Words around a line break are remembered on their own; the ids of the chunk they make are only handed back.
+        """
+        fresh, once = memory.fresh(chunks), {}
         words = [c for c in fresh if c.isalpha()]
         memory.update(zip(words, self._words(words) if before else self._lines(words), strict=True))
-        memory.update(dict.fromkeys(open_))
-        rest = [c for c in fresh if c not in open_ and not c.isalpha()]
-        parts = {c: m.groups() for c in rest if before and (m := _HEAD.fullmatch(c))}  # letters and the rest never merge
-        if parts:
-            self._learn(memory, {h for h, _ in parts.values()}, before)
-            self._learn(self.bare, {t for _, t in parts.values()}, "")
-            memory.update({c: memory[h] + self.bare[t] for c, (h, t) in parts.items() if self.bare[t] is not None})
-        rest = [c for c in rest if c not in memory]
+        if len(words) == len(fresh):
+            return once
+        rest, broken, ended = [], [], []
+        for c in fresh:
+            if c.isalpha():
+                continue
+            if not c or c[-1].isspace():
+                memory[c] = OPEN
+            elif "\n" in c and all(p and not p[0].isspace() and not p[-1].isspace() for p in c.split("\n")):
+                broken.append((c, c.split("\n")))  # a line break between two visible characters is a chunk of its own
+            elif (head := c.rstrip(_MARKS)) != c and head.isalpha():
+                ended.append((c, head, c[len(head):]))  # letters and marks never merge
+            else:
+                rest.append(c)
+        heads = [p[0] for _, p in broken if p[0] not in memory]
+        heads += [h for _, h, _ in ended if h not in memory]
+        if heads:
+            self._learn(memory, heads, before)
+        bare = self.bare
+        tails = [x for _, p in broken for x in p[1:] if x not in bare]
+        tails += [t for _, _, t in ended if t not in bare]
+        if tails:
+            self._learn(bare, tails, "")
+        for c, head, tail in ended:
+            memory[c] = memory[head] + bare[tail]
+        for c, parts in broken:
+            once[c] = self.line_break.join([memory[parts[0]], *[bare[p] for p in parts[1:]]])
         memory.update(zip(rest, self._ids([before + c for c in rest]), strict=True))
+        return once
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes."""
@@ -120,15 +147,24 @@ class Encoder:
         if self.chunked:
             self.bare.age()
             self.spaced.age()
-            chunks = [t.split(" ") for t in texts]
-            firsts = [c.pop(0) for c in chunks]
-            self._learn(self.bare, set(firsts), "")
-            self._learn(self.spaced, set().union(*chunks), " ")
-            bare, spaced = self.bare, self.spaced
-            for i, (first, c) in enumerate(zip(firsts, chunks, strict=True)):
+            bare, spaced, known = self.bare, self.spaced, self.spaced.get
+            firsts, parts, gaps, unknown = [], [], [], []
+            for text in texts:
+                first, *chunks = text.split(" ")
+                ids = list(map(known, chunks))
+                holes = [k for k, v in enumerate(ids) if v is None]
+                gaps.append([(k, chunks[k]) for k in holes])
+                unknown += [c for _, c in gaps[-1]]
+                firsts.append(first)
+                parts.append(ids)
+            starts = self._learn(bare, [f for f in firsts if f not in bare], "")
+            once = self._learn(spaced, unknown, " ")
+            for i, (first, ids, holes) in enumerate(zip(firsts, parts, gaps, strict=True)):
+                for k, c in holes:
+                    ids[k] = once[c] if c in once else spaced[c]
                 try:
-                    out[i] = (bare[first] if first else b"") + b"".join(map(spaced.__getitem__, c))
-                except TypeError:  # white space of more than one space somewhere
+                    out[i] = (starts[first] if first in starts else bare[first] if first else b"") + b"".join(ids)
+                except TypeError:  # an open chunk: white space of more than one space somewhere
                     pass
         whole = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):

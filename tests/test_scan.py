@@ -99,3 +99,38 @@ def test_five_stats_names_and_missing(spark):
     rows = {r["k"]: r.asDict() for r in five_stats(df, ["k"], {("v", "fix"): F.col("v")}).collect()}
     assert rows["a"] == {"k": "a", "v_mean_fix": 1.0, "v_min_fix": 1.0, "v_max_fix": 1.0, "v_median_fix": 1.0, "v_std_fix": None}
     assert all(v is None for k, v in rows["b"].items() if k != "k")
+
+
+@pytest.mark.parametrize("name,times", [("ffill", 1), ("drop_blink_saccades", 1), ("stimulus_onset", 0), *[
+    (f"prep_{e}", 2 if e == "anti_saccade" else 1) for e in
+    ("anti_saccade", "evil_bastard", "reaction", "fitts_law", "king_devick", "shapes", "smooth_pursuits", "fixations")]])
+def test_rows_are_shuffled_once(spark, sf, name, times):
+    from workload import registry
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = registry.SPARK[name](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    dealt = [line for line in plan if "Exchange hashpartitioning(_scan_hash" in line]
+    assert sum("ReusedExchange" not in line for line in dealt) == times
+    assert sum("ReusedExchange" in line for line in dealt) == times
+    assert sum("FileScan" in line for line in plan) <= 1 or not times
+
+
+@pytest.mark.parametrize("width", [2, 9, 1000])
+def test_segments_match_a_walk(spark, width):
+    rng = np.random.default_rng(6)
+    rows = [(k, float(t), t, bool(rng.random() < 0.15), None if rng.random() < 0.3 else int(rng.integers(0, 99))) for k in "ab" for t in range(200)]
+    df = spark.createDataFrame(rows, "k string, time double, seq long, ends boolean, v int")
+    segments = sc.Segments(F.col("ends"), {"low": (F.min, F.col("v")), "high": (F.max, F.col("v")), "closed": (F.max, F.when(F.col("ends"), 1))})
+    got = {(r["k"], r["seq"]): (r["low"], r["high"], r["closed"]) for r in sc.scan(df, ["k"], "time", ["seq"], {}, width=width, segments=segments).collect()}
+    want, stretch = {}, []
+    for i, (k, _, t, ends, v) in enumerate(rows):
+        stretch.append((k, t, v))
+        if ends or i + 1 == len(rows) or rows[i + 1][0] != k:
+            known = [x for _, _, x in stretch if x is not None]
+            for a, b, _ in stretch:
+                want[a, b] = (min(known, default=None), max(known, default=None), 1 if ends else None)
+            stretch = []
+    assert got == want

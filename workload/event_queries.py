@@ -599,10 +599,14 @@ PATH_CLASS = {
  when event = 'EFIX' and colour = '255 255 255' then 'Fixations - Pre stimulus' end""",
     "EVIL_BASTARD": """case when event = 'EFIX' then 'Fixations' when colour = '0 0 255' then 'Stimulus - Blue'
  when colour = '255 0 0' then 'Stimulus - Red' else 'Stimulus' end""",
+    "FITTS_LAW": "case when event = 'FIXPOINT' and colour = '255 0 0' then 'Stimulus' when event = 'EFIX' then 'Fixations' end",
+    "SHAPES": "case when event = 'EFIX' then 'Fixations' when colour = '255 255 255' then 'Stimulus' end",
 }
+PATH_CLASS |= {"REACTION": PATH_CLASS["ANTI_SACCADE"], "SMOOTH_PURSUITS": PATH_CLASS["SHAPES"]}
 PATH_ROWS = {"ANTI_SACCADE": "event in ('EFIX', 'FIXPOINT') and colour in ('255 255 255', '255 0 0')",
              "EVIL_BASTARD": "event in ('EFIX', 'FIXPOINT')",
              "KING_DEVICK": "event = 'EFIX' and time < time_elapsed * 1000"}
+PATH_ROWS |= {"REACTION": PATH_ROWS["ANTI_SACCADE"]} | dict.fromkeys(("FITTS_LAW", "SMOOTH_PURSUITS", "SHAPES"), PATH_ROWS["EVIL_BASTARD"])
 
 
 def _register_path(experiment: str):
@@ -616,7 +620,7 @@ select participant_id, trial_id, eye, time, seq, event, coalesce(x, stimulus_x)
         return views.scan_path(raw(spark, sf, experiment), experiment, CHUNK)
 
 
-for _e in ("ANTI_SACCADE", "EVIL_BASTARD", "KING_DEVICK"):
+for _e in PATH_ROWS:
     _register_path(_e)
 
 

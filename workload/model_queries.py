@@ -165,6 +165,46 @@ def best_per_k(spark, sf):
     return rounded_doubles(cluster.best_per_k(rows))
 
 
+SCORED = """
+s as (select label as n_clusters, vec_id, round(list_sum(list_transform(embedding, lambda x: cast(x as double))), 3) as silhouette from embeddings)"""
+
+
+def scored(spark, sf) -> DataFrame:
+    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return inputs.table(spark, sf, "embeddings").select(F.col("label").alias("n_clusters"), "vec_id", F.round(total, 3).alias("silhouette"))
+
+
+@register("best_model", query(SCORED, "select * from s order by silhouette desc, vec_id limit 1"))
+def best_model(spark, sf):
+    return rounded_doubles(cluster.best_model(scored(spark, sf)))
+
+
+@register("distinct_feature_sets", """
+with r as (select o_orderkey as position, o_custkey % 5 as n_clusters,
+ case when o_orderkey % 2 = 0 then [o_orderpriority, o_orderstatus] else [o_orderstatus, o_orderpriority] end as features from orders)
+select n_clusters, array_to_string(list_sort(features), ',') as features, min(position) as position from r group by all""")
+def distinct_feature_sets(spark, sf):
+    """Priority and status of an order stand for a set of features, named in either order."""
+    both = [F.col("o_orderpriority"), F.col("o_orderstatus")]
+    rows = inputs.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("position"), (F.col("o_custkey") % 5).alias("n_clusters"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.array(*both)).otherwise(F.array(*both[::-1])).alias("features"))
+    return cluster.distinct_feature_sets(rows).select("n_clusters", F.array_join(F.array_sort("features"), ",").alias("features"), "position")
+
+
+@register("split_rows", "select cast(count(*) as bigint) as n, cast(0 as bigint) as n_in_both, true as share_is_near from orders")
+def split_rows(spark, sf):
+    """A repeated split is the same, leaves no row out and puts none into both parts."""
+    rows = inputs.table(spark, sf, "orders").select("o_orderkey")
+    train, test = cluster.split_rows(rows, "o_orderkey", 0.2)
+    again = cluster.split_rows(rows.repartition(7), "o_orderkey", 0.2)[1].select("o_orderkey", F.lit(1).alias("again"))
+    parts = train.select("o_orderkey", F.lit(0).alias("test")).unionByName(test.select("o_orderkey", F.lit(1).alias("test")))
+    seen = parts.join(again, "o_orderkey", "left").groupBy("o_orderkey").agg(
+        F.count("*").alias("n"), F.max("test").alias("test"), F.max(F.coalesce("again", F.lit(0))).alias("again"))
+    return seen.agg(F.sum("n").alias("n"), F.count_if((F.col("n") > 1) | (F.col("test") != F.col("again"))).alias("n_in_both"),
+                    (F.abs(F.avg("test") - 0.2) < 0.03).alias("share_is_near"))
+
+
 # --- models (rows only) ----------------------------------------------------------------------------------------------
 
 #: Centred points, their covariances as a list of rows, and its powers by repeated squaring: what is left of the power is the

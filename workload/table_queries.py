@@ -109,6 +109,15 @@ def rows_with_any_feature(spark, sf):
     return matrix.drop_empty_rows(rows, ["x", "y", "stimulus_x"])
 
 
+@register("complete_columns", query(ctes.USER_FEATURES, """
+select participant_id, feature, round(value, 6) + 0.0::double as value from lf where feature in (
+ select feature from lf group by feature having count(*) = (select count(*) from uf))"""))
+def complete_columns(spark, sf):
+    """Features that nobody lacks."""
+    rows = matrix.drop_incomplete_columns(features(spark, sf).drop("y"), ["participant_id"])
+    return rounded_doubles(matrix.long_view(rows, [c for c in rows.columns if c != "participant_id"], ["participant_id"]))
+
+
 # --- filters and tests -----------------------------------------------------------------------------------------------
 
 @register("low_variance", query(ctes.USER_FEATURES, """
@@ -120,6 +129,15 @@ def low_variance(spark, sf):
     return rounded_doubles(stats.feature_variance(long(spark, sf)).withColumn("is_kept", kept))
 
 
+@register("scaled_features", query(ctes.USER_FEATURES + """,
+r as (select feature, min(value) as low, max(value) as high, var_pop(value) / nullif((max(value) - min(value)) ** 2, 0) as v from lf group by feature)""", """
+select participant_id, feature, round((value - low) / (high - low), 6) + 0.0::double as value from lf join r using (feature) where v > 0.01"""))
+def scaled_features(spark, sf):
+    """Features that vary enough, scaled to [0, 1]."""
+    scaled, kept = stats.remove_low_variance(features(spark, sf), FEATURES)
+    return rounded_doubles(matrix.long_view(scaled, kept, ["participant_id"]))
+
+
 PAIRS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1:]]
 
 
@@ -317,3 +335,13 @@ def drop_sparse_rows(spark, sf):
 def multi_hot(spark, sf):
     rows = inputs.survey(spark, sf).select("id", "seq", "pain")
     return survey.multi_hot(rows, "pain", "pain:", codes=list("012345"))
+
+
+@register("topic_totals", query(ctes.SURVEY, "select id, " + " + ".join(
+    f"cast(sum(cast(contains(pain, '''{c}''') as int)) as bigint)" for c in "012345") + """ as pain,
+ cast(count(*) as bigint) as reading from survey group by id"""))
+def topic_totals(spark, sf):
+    """Answers per topic; the columns of a topic are found by its name."""
+    rows = survey.multi_hot(inputs.survey(spark, sf).select("id", "pain"), "pain", "pain:", codes=list("012345")).withColumn("reading:0", F.lit(1))
+    topics = survey.topic_columns([c for c in rows.columns if c != "id"])
+    return rows.groupBy("id").agg(*[sum((F.sum(f"`{c}`") for c in columns), F.lit(0)).alias(t) for t, columns in topics.items()])

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Points of the hash sample that the starting centres come from.
 START_ROWS = 2000
-#: Added to the variances, so that a component on few points keeps a density.
-FLOOR = 1e-6
+#: Fixed value: added to the variances of the standardised features, so that a component on few points keeps a density.
+FLOOR = 1e-3
 ROUNDS, TOLERANCE = 100, 1e-3
 
 

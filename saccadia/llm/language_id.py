@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import release_memory, text_or_empty
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -225,7 +225,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with a score of at least ``least``."""
+    """The rows of ``docs``, all columns, whose language is known with a score of at least ``least``.
+
+    NULL texts and texts without a letter go, repeated rows stay or go together, an empty table stays empty.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,5 +237,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.4) -> DataFr
             if predictor:
                 names, score = predictor.predict(pc.fill_null(batch.column(at), ""))
                 yield batch.filter(pa.array((score >= least) & (np.array(names, object) != UNKNOWN)))
+        del predictor
+        release_memory()  # the worker goes on with other stages
 
     return docs.mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stage, text_or_empty, whole_groups
+from .common import mix64, release_memory, stage, text_or_empty, whole_groups
 
 LENGTH = 200
 #: Anchor lengths, from the first cut to whole windows.
@@ -240,6 +240,7 @@ def _key() -> list[Column]:
 
 def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors of the texts; of copies that meet in one task two are enough to show that their anchors repeat."""
+    release_memory()  # of tasks that this worker did before
     times: dict[tuple[int, int], int] = {}
     for batch in batches:
         if len(times) > 200_000:
@@ -264,6 +265,7 @@ def _segment_hash(segment: bytes) -> int:
 
 def _segment_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments of each text; the bytes only where this task has not sent them yet, as far as it remembers."""
+    release_memory()  # of tasks that this worker did before
     sent: set[int] = set()
     names = ["m", "sh", "k", "tag", "start", "size", "copies", "body"]
     for batch in batches:
@@ -298,6 +300,7 @@ def _segment_batch(columns: list[list], names: list[str]) -> pa.RecordBatch:
 
 def _array_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffix arrays over whole anchors, packed to about ARRAY_BYTES."""
+    release_memory()  # of tasks that this worker did before
     held: list[tuple[int, int, bytes]] = []
     size = 0
 

@@ -241,7 +241,9 @@ def test_best_window_against_all_windows():
 
 def test_masks_hit_every_window_of_twelve_to_twenty_words():
     for n in range(12, 21):
-        gone = np.array(list(itertools.combinations(range(n), n - max(12, -(-3 * n // 4)))), np.int64).reshape(-1, n - max(12, -(-3 * n // 4)))
+        different = n - max(12, -(-3 * n // 4))
+        sets = list(itertools.combinations(range(n), different))
+        gone = np.array(sets, np.int64).reshape(len(sets), different)
         patterns = np.ones((len(gone), n), bool)
         patterns[np.arange(len(gone))[:, None], gone] = False
         hit = np.zeros(len(gone), bool)

@@ -28,14 +28,18 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
-def rounded_doubles(df: DataFrame, factor: float | None = None, digits: int = 6) -> DataFrame:
+def rounded_doubles(df: DataFrame, factor: float | None = None, digits: int = 6, settle: bool = False) -> DataFrame:
     """Doubles rounded for comparison; adding zero turns a negative zero into zero.
 
-    The first rounding takes off what the order of a sum adds, so that a half is rounded alike everywhere.
+    ``settle`` rounds off first what the order of a sum adds, for means that lie at a half.
     """
     kinds = dict(df.dtypes)
-    return df.select(*[(F.round(F.round(F.col(c) * factor if factor else F.col(c), digits + 5), digits) + F.lit(0.0)).alias(c)
-                       if kinds[c] == "double" else F.col(c) for c in df.columns])
+
+    def shown(c: str):
+        value = F.col(c) * factor if factor else F.col(c)
+        return (F.round(F.round(value, digits + 5) if settle else value, digits) + F.lit(0.0)).alias(c)
+
+    return df.select(*[shown(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
 
 
 def raw(spark: SparkSession, sf: str, experiment: str = "SHAPES") -> DataFrame:
@@ -406,7 +410,7 @@ select {KEYS}, {five('peak_velocity', "case when event = 'ESACC' then peak_veloc
 
 @register("precalc_metrics", precalculated_sql("SHAPES"))
 def precalc_metrics(spark, sf):
-    return rounded_doubles(event_features.precalculated_metrics(ready(spark, sf, "SHAPES")))
+    return rounded_doubles(event_features.precalculated_metrics(ready(spark, sf, "SHAPES")), settle=True)
 
 
 @register("mean_metrics_right", query(ctes.prepared("SHAPES"), f"""

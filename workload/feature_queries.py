@@ -101,7 +101,7 @@ def _register(experiment: str) -> None:
         """All features side by side, of the participants both tables have."""
         samples = sample_queries.samples(spark, sf).withColumn("experiment", F.lit(experiment))
         found = experiment_features(experiment, inputs.prepared_events(spark, sf, experiment), samples, width=inputs.CHUNK, tolerance=TOLERANCE)
-        return rounded_doubles(rounded_doubles(per_day(found)), digits=DIGITS)
+        return rounded_doubles(rounded_doubles(per_day(found), settle=True), digits=DIGITS, settle=True)
 
     SPARK[name] = run
     SQL[name] = f"select {KEYS}, {', '.join(shown(c) for sql in parts(experiment) for c in columns(sql))} from " + " join ".join(

@@ -219,4 +219,4 @@ PARTS = ["precalc_metrics", "fix_distance", "acceleration", "disconjugacy"]
 def shapes_feature_table(spark, sf):
     names = ["precalculated", "fixation_distance", "acceleration", "disconjugacy"]
     return rounded_doubles(experiment_features("SHAPES", inputs.prepared_events(spark, sf, "SHAPES"), samples(spark, sf), names,
-                                               width=inputs.CHUNK))
+                                               width=inputs.CHUNK), settle=True)

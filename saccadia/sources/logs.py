@@ -12,6 +12,7 @@ from saccadia import schemas as S
 from saccadia.functions.scalars import cast_columns, plain_decimal, whole_number
 from saccadia.operators.joins import assign_trials, trial_intervals
 from saccadia.operators.scan import last, scan, sum_before
+from saccadia.session import stage
 
 
 def log_paths(folder: str, experiment: str) -> str:
@@ -24,7 +25,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     Files stay splittable: a line is ordered by the start of its block in the file and by its place in that block.
     """
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    lines = spark.read.text(path).select(
+    folder, _, pattern = path.rpartition("/")
+    if folder and any(c in pattern for c in "*?[{"):
+        # One listing of the folder; a glob would make every file a path that is looked up in a task of its own.
+        files = spark.read.option("pathGlobFilter", pattern).text(folder)
+        if not files.rdd.getNumPartitions():
+            raise FileNotFoundError(path)
+    else:
+        files = spark.read.text(path)
+    lines = files.select(
         name.alias("recording"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("position"), F.trim("value").alias("line"))
     return lines.withColumn("participant_id", F.get(F.split("recording", "_"), 1).try_cast("bigint"))
@@ -105,8 +114,8 @@ def parse_events(lines: DataFrame, experiment: str, axis: str = "block", ties: S
 
 
 def extract_events(spark: SparkSession, folder: str, experiment: str) -> DataFrame:
-    """Raw events of all recordings of an experiment in one scan."""
-    return parse_events(read_lines(spark, log_paths(folder, experiment)), experiment)
+    """Raw events of all recordings of an experiment in one scan; the files, which may be many and small, are read once."""
+    return parse_events(stage(read_lines(spark, log_paths(folder, experiment)), "lines"), experiment)
 
 
 # --- samples ---------------------------------------------------------------------------------------------------------

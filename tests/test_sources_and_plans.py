@@ -181,3 +181,16 @@ def test_two_recordings_of_one_participant_have_one_numbering(spark, tmp_path):
     events = logs.extract_events(spark, str(tmp_path), "SHAPES").collect()
     assert len(events) == 8 and sorted(r["seq"] for r in events) == list(range(8))
     assert [r["trial_id"] for r in sorted(events, key=lambda r: r["seq"])] == [4] * 4 + [5] * 4
+
+
+def test_many_recordings_are_listed_as_one_folder_and_read_once(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"Shapes_{i}_a.asc").write_text(f"MSG 1 TRIALID {i}\nMSG 2 TRIALID {i + 1}\n")
+    (tmp_path / "Reaction_7_a.asc").write_text("MSG 1 TRIALID 99\n")
+    lines = logs.read_lines(spark, logs.log_paths(str(tmp_path), "SHAPES"))
+    assert "InMemoryFileIndex(1 paths)" in plan_of(lines)
+    events = logs.extract_events(spark, str(tmp_path), "SHAPES")
+    assert "text" not in plan_of(events).lower().split("filescan ")[1][:8]
+    assert sorted((r["participant_id"], r["trial_id"], r["seq"]) for r in events.collect()) == [(i, i + j, j) for i in range(40) for j in range(2)]
+    with pytest.raises(FileNotFoundError):
+        logs.read_lines(spark, logs.log_paths(str(tmp_path), "FITTS_LAW"))

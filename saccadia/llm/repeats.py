@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, release_memory, stage, text_or_empty, whole_groups
+from .common import by_bytes, mix64, release_memory, stage, text_or_empty, whole_groups
 
 LENGTH = 200
 #: Anchor lengths, from the first cut to whole windows.
@@ -29,9 +29,11 @@ GRAMS = (64, 136, 184, 200)
 #: Different segments of one anchor that a single suffix array takes.
 CAP = 8192
 #: Bytes of one suffix array, beyond which a further anchor starts the next one.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 17
+#: Bytes of texts that are taken out of a batch at once.
+TEXT_BYTES = 4 << 20
 #: Bytes whose windows are hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 _BASE = 0x9E3779B97F4A7C15
 _SYMBOLS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -103,7 +105,7 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, ends - ends[0]
 
 
-def _pieces(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _pieces(column: pa.Array, limit: int = TEXT_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The column in runs of rows of about ``limit`` bytes: first row, bytes, ends."""
     data, ends = _bytes_of(column)
     row = 0
@@ -268,7 +270,7 @@ def _segment_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     release_memory()  # of tasks that this worker did before
     sent: set[int] = set()
     names = ["m", "sh", "k", "tag", "start", "size", "copies", "body"]
-    for batch in batches:
+    for batch in (part for b in batches for part in by_bytes(b, b.schema.get_field_index("text"), TEXT_BYTES)):
         held: list[list] = [[] for _ in names]
         for text, k, tag, copies, spots in zip(batch.column("text").to_pylist(), batch.column("k").to_pylist(), batch.column("tag").to_pylist(),
                                                batch.column("copies").to_pylist(), batch.column("spots"), strict=True):
@@ -474,7 +476,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     count_at = columns.index("n_chars") if "n_chars" in columns else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in by_bytes(b, at, TEXT_BYTES)):
             texts, counts = batch.column(at).to_pylist(), batch.column(count_at).to_pylist() if count_at is not None else None
             for i in range(batch.num_rows):
                 if texts[i] is None:

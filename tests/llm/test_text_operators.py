@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -61,6 +62,24 @@ def test_repeats_against_all_windows(spark, monkeypatch, cap):
     assert got == want
 
 
+def test_memory_of_anchors_and_suffix_arrays():
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 123, 3_000_000).astype(np.uint8)
+    segments = [data[i:i + 300].tobytes() for i in range(0, 1_200_000, 300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(segments) // 2), 2)), pa.array(np.arange(len(segments))),
+                                        pa.array(segments, pa.binary())], ["m", "sh", "body"])
+
+    def peak(work) -> float:
+        tracemalloc.start()
+        work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / 1e6
+
+    assert peak(lambda: repeats.anchors(data, np.array([0, len(data)]), 64)) < 40
+    assert peak(lambda: list(repeats._array_rows([batch]))) < 50
+
+
 def test_repeated_and_nameless_rows(spark):
     rows = [r for r in texts() if len(r[1] or "") < 20000]
     want = Counter((i, *digest(t, m)) for (i, t), m in zip(rows, covered([t for _, t in rows])))

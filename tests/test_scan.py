@@ -134,3 +134,17 @@ def test_segments_match_a_walk(spark, width):
                 want[a, b] = (min(known, default=None), max(known, default=None), 1 if ends else None)
             stretch = []
     assert got == want
+
+
+def test_scan_rows_stay_in_all_partitions_of_the_session(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(200).select(F.col("id").alias("seq"), (F.col("id") % 40).alias("k"), F.col("id").alias("t"), F.lit(1.0).alias("v"))
+    assert sc.scan(rows, ["k"], "t", ["seq"], {"a": sc.last(F.col("v"))}).rdd.getNumPartitions() == n
+    assert moving_average(rows, ["k"], "t", ["seq"], ["v"]).rdd.getNumPartitions() == n
+
+
+def test_values_of_a_median_do_not_carry_the_other_statistics(spark):
+    rows = spark.range(400).select((F.col("id") % 40).alias("k"), F.col("id").cast("double").alias("a"))
+    plan = five_stats(rows, ["k"], {"a": F.col("a")})._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    counted = [line for line in plan if "Aggregate" in line and "_count" in line]
+    assert counted and not any("a_mean" in line for line in counted)

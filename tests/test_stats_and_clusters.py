@@ -336,3 +336,14 @@ def test_passes_of_a_search_lie_in_few_tasks(spark):
     assert np.allclose(one.log_densities(x)[:, 0], want) and np.allclose(one.means[0], x.mean(0))
     assert two.log_densities(x).shape == (90, 2) and two.weights.sum() == pytest.approx(1)
     points.unpersist()
+
+
+def test_growth_reads_its_points_once(spark, monkeypatch):
+    rows = [(i, float(9 * (i % 2) + i % 5), float(9 * (i % 2) + i % 3), float(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, u double")
+    staged, fitted = [], []
+    real, fit = cluster.stage, mixtures.fit
+    monkeypatch.setattr(cluster, "stage", lambda df, name: staged.append(real(df, name)) or staged[-1])
+    monkeypatch.setattr(mixtures, "fit", lambda df, *a, **k: fitted.append(df) or fit(df, *a, **k))
+    assert cluster.tune(df, ["a", "b", "u"], low=2, high=3, patience=1).count() == 1
+    assert len(staged) == 1 and len(fitted) == 2 and all(f is staged[0] for f in fitted)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import fnmatch
+import os
+import re
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,6 +44,118 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("participant_id", F.get(F.split("recording", "_"), 1).try_cast("bigint"))
 
 
+#: Lines are handed on, and long files read, in pieces of so many bytes.
+PIECE_BYTES = 4 << 20
+#: A task reads about so many bytes; opening a file counts as some.
+TASK_BYTES, OPEN_BYTES = 128 << 20, 64 << 10
+
+
+def _file_tasks(base: str, pattern: str, open_store: Callable[[], fs.FileSystem], block: int) -> tuple[Callable, Callable]:
+    """Functions for mapInArrow: one lists the blocks of the files of a folder, the other reads their lines."""
+    # Made inside a function, so that they travel to the workers with their code.
+    piece_bytes, names = PIECE_BYTES, ["path", "start", "end", "size"]
+
+    def files() -> Iterator[tuple[str, int]]:
+        store = open_store()
+        if isinstance(store, fs.LocalFileSystem):  # one by one: a folder may hold millions
+            with os.scandir(base) as entries:
+                yield from ((f"{base}/{e.name}", e.stat().st_size) for e in entries if e.is_file())
+        else:
+            yield from ((i.path, i.size) for i in store.get_file_info(fs.FileSelector(base)) if i.is_file)
+
+    def listed(_: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for path, size in files():
+            name = path.rpartition("/")[2]
+            if fnmatch.fnmatchcase(name, pattern) and not name.startswith((".", "_")) and not name.endswith("._COPYING_"):
+                found += [(path, at, min(at + block, size), size) for at in range(0, size, block)]
+            if len(found) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names)
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names)
+
+    def lines_of(store: fs.FileSystem, path: str, start: int, end: int, size: int) -> Iterator[list[bytes]]:
+        """Lines that begin in a block, in pieces; a line ends with LF, CR or both."""
+        mark = b"\xef\xbb\xbf"
+        with store.open_input_file(path) as file:
+            if start == 0 and end == size <= piece_bytes:
+                yield file.read().removeprefix(mark).splitlines()
+                return
+            at, rest, ours, more = max(start - 1, 0), b"", start == 0, True
+            file.seek(at)
+            while more:
+                piece = file.read(piece_bytes)
+                more, parts = bool(piece), (rest + piece).splitlines(keepends=True)
+                # what has no end yet, or a CR whose LF may follow
+                rest = parts.pop() if more and parts and not parts[-1].endswith(b"\n") else b""
+                found = []
+                for line in parts:
+                    if at >= end:
+                        more = False
+                        break
+                    if ours:
+                        text = line[:-2] if line.endswith(b"\r\n") else line[:-1] if line.endswith((b"\n", b"\r")) else line
+                        found.append(text.removeprefix(mark) if at == 0 else text)
+                    at, ours = at + len(line), True
+                yield found
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, recordings, blocks, lines, held = open_store(), [], [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(recordings, pa.string()), pa.array(blocks, pa.int64()), pa.array(lines, pa.binary())],
+                                              ["recording", "block", "value"])
+
+        for rows in batches:
+            for row in rows.to_pylist():
+                # as Spark names files: characters that a URI cannot have are escaped
+                name = re.sub(r'[\x00-\x20"%<>\\^`{|}\x7f\[\]#?]', lambda c: f"%{ord(c[0]):02X}", row["path"].rpartition("/")[2])
+                for found in lines_of(store, row["path"], row["start"], row["end"], row["size"]):
+                    lines += found
+                    recordings += [name] * len(found)
+                    blocks += [row["start"]] * len(found)
+                    held += sum(map(len, found))
+                    if held >= piece_bytes or len(lines) >= 50_000:
+                        yield batch()
+                        recordings, blocks, lines, held = [], [], [], 0
+        if lines:
+            yield batch()
+
+    return listed, read
+
+
+def staged_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The table of ``read_lines``, written once. Tasks list and read the files, so the driver holds none of their names and a task
+    reads many small ones; folders that only Spark reads, and other globs than ``*`` and ``?``, are left to Spark's reader."""
+    folder, _, pattern = path.rpartition("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder or "/")
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    base = "/" + uri.removeprefix("file:").lstrip("/")
+    if uri.startswith("file:"):
+        open_store = fs.LocalFileSystem
+    else:
+        try:
+            base = fs.FileSystem.from_uri(uri)[1]
+        except (pa.ArrowInvalid, OSError):
+            return stage(read_lines(spark, path), "lines")
+        open_store = lambda: fs.FileSystem.from_uri(uri)[0]
+    if any(c in path for c in "[]{}\\") or any(c in folder for c in "*?") or not any(c in pattern for c in "*?") or (
+            open_store is fs.LocalFileSystem and not os.path.isdir(base)):
+        return stage(read_lines(spark, path), "lines")
+    block = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    listed, read = _file_tasks(base, pattern, open_store, block)
+    blocks = stage(spark.range(0, 1, 1, 1).mapInArrow(listed, "path string, start long, end long, size long"), "blocks")
+    n, size = blocks.agg(F.count("*"), F.sum(F.col("end") - F.col("start"))).first()
+    if not n:
+        return stage(read_lines(spark, path), "lines")  # says what is missing
+    tasks = min(n, max(spark.sparkContext.defaultParallelism, -(-(size + n * OPEN_BYTES) // TASK_BYTES)))
+    dealt = blocks.repartition(tasks, "path", "start").sortWithinPartitions("path", "start")
+    lines = dealt.mapInArrow(read, "recording string, block long, value binary").select(
+        "recording", "block", F.monotonically_increasing_id().alias("position"), F.trim(F.col("value").cast("string")).alias("line"))
+    return stage(lines.withColumn("participant_id", F.get(F.split("recording", "_"), 1).try_cast("bigint")), "lines")
+
+
 # How a line announces its event; the first rule that fits counts. Labels lines are no events.
 LINE_RULES = [
     ("TRIAL_VAR_LABELS", "contains", "TRIAL_VAR_LABELS"), ("TRIALID", "contains", "TRIALID"),
@@ -115,7 +232,7 @@ def parse_events(lines: DataFrame, experiment: str, axis: str = "block", ties: S
 
 def extract_events(spark: SparkSession, folder: str, experiment: str) -> DataFrame:
     """Raw events of all recordings of an experiment in one scan; the files, which may be many and small, are read once."""
-    return parse_events(stage(read_lines(spark, log_paths(folder, experiment)), "lines"), experiment)
+    return parse_events(staged_lines(spark, log_paths(folder, experiment)), experiment)
 
 
 # --- samples ---------------------------------------------------------------------------------------------------------

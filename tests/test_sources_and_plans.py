@@ -194,3 +194,37 @@ def test_many_recordings_are_listed_as_one_folder_and_read_once(spark, tmp_path)
     assert sorted((r["participant_id"], r["trial_id"], r["seq"]) for r in events.collect()) == [(i, i + j, j) for i in range(40) for j in range(2)]
     with pytest.raises(FileNotFoundError):
         logs.read_lines(spark, logs.log_paths(str(tmp_path), "FITTS_LAW"))
+
+
+@pytest.mark.parametrize("block", [5, 64, 1 << 20])
+def test_lines_of_tasks_are_those_of_the_text_source(spark, tmp_path, monkeypatch, block):
+    texts = {"Shapes_1_a b.asc": b"\xef\xbb\xbffirst\r\n\r\n second \rthird\n\nlast", "Shapes_2_a.asc": b"\n", "Shapes_3_%.asc": b"x" * 100 + b"\r\n" + b"y\r" * 9,
+             "Shapes_4_a.asc": "umlaut ä\n".encode() + b"\xff\xfe\n", "Shapes_5_a.asc": b"", "Reaction_1_a.asc": b"other\n", "_Shapes_1.asc": b"hidden\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    (tmp_path / "Shapes_dir.asc").mkdir()
+    monkeypatch.setattr(logs, "PIECE_BYTES", 8)
+    path = logs.log_paths(str(tmp_path), "SHAPES")
+    order = ["recording", "block", "position"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    want = logs.read_lines(spark, path).orderBy(*order).select("recording", "participant_id", F.hex("line")).collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        lines = logs.staged_lines(spark, path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert lines.orderBy(*order).select("recording", "participant_id", F.hex("line")).collect() == want and len(want) == 19
+    assert lines.select("position").distinct().count() == len(want)
+    assert block > 100 or lines.where("recording = 'Shapes_3_%25.asc'").select("block").distinct().count() > 1
+
+
+def test_driver_lists_no_recordings(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        (tmp_path / f"Shapes_{i}_a.asc").write_text(f"MSG 1 TRIALID {i}\n")
+
+    def refuse(*_):
+        raise AssertionError("files listed by the driver")
+
+    monkeypatch.setattr(logs, "read_lines", refuse)
+    events = logs.extract_events(spark, str(tmp_path), "SHAPES")
+    assert sorted(r["trial_id"] for r in events.collect()) == list(range(30))
